@@ -6,7 +6,7 @@
    the threshold and the recall wanted at it (:func:`choose_bands`).
 3. Classes are shuffled on band keys; two classes that share a key are a candidate pair. A task sends each class once,
    so a group of copies that holds a third of all rows does not make a key hot.
-4. Candidate pairs are verified on the full n-gram sets (as strings, no hashing) of one text of each class.
+4. Candidate pairs are verified on the full n-gram sets of one text of each class.
 5. Pairs of classes are expanded to pairs of ids, and ids of one class are pairs too.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.staging import small, staged
-from lorespark.llm.words import flat_lists, mix, windows, word_hashes, word_ngrams
+from lorespark.llm.words import flat_lists, mix, ngram_sets, windows, word_hashes
 
 #: N-gram hashes that one step of the MinHash loop handles, so that it stays in the processor's cache.
 STEP = 1 << 16
@@ -124,11 +124,8 @@ def similar_classes(texts: DataFrame, threshold: float, n: int, recall: float, r
 
     concerned = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_key")).distinct()
     representatives = members.join(small(concerned), "class_key").groupBy("class_key").agg(F.min(F.struct("source_table", "id")).alias("_r")).select("class_key", "_r.*")
-    sets = (
-        texts.join(small(staged(representatives)), ["source_table", "id"])
-        .dropDuplicates(["class_key"])
-        .select("class_key", word_ngrams(F.col("text"), n).alias("grams"))
-    )
+    concerned_texts = texts.join(small(staged(representatives)), ["source_table", "id"]).select("class_key", word_hashes(F.col("text")).alias("hashes"))
+    sets = staged(ngram_sets(concerned_texts, n).dropDuplicates(["class_key"]))
     a = sets.select(F.col("class_key").alias("class_a"), F.col("grams").alias("grams_a"))
     b = sets.select(F.col("class_key").alias("class_b"), F.col("grams").alias("grams_b"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))

@@ -7,10 +7,13 @@ batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One word, for Java's regular expressions.
 WORD = "[一-鿿]|[\\p{L}\\p{N}&&[^一-鿿]]+"
@@ -28,12 +31,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def word_ngrams(text: Column, n: int) -> Column:
-    """The distinct windows of ``n`` words in a row, as strings; empty where the text is shorter."""
-    w = words(text)
-    return F.array_distinct(F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " ")))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of SplitMix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -65,3 +62,24 @@ def windows(lengths: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
         inside = owner[: len(rolled)] == owner[n - 1 :]
         at = np.flatnonzero(inside)
         return mix(rolled[at]), owner[at], at - starts[owner[at]]
+
+
+def ngram_sets(df: DataFrame, n: int, hashes: str = "hashes", sets: str = "grams") -> DataFrame:
+    """``df`` with its column of word hashes replaced by the sorted distinct hashes of its windows of ``n`` words."""
+    at = df.columns.index(hashes)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, values = flat_lists(batch.column(at))
+            grams, owner, _ = windows(lengths, values, n)
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
+            fresh = np.ones(len(grams), bool)
+            fresh[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+            counts = np.bincount(owner[fresh], minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(grams[fresh].view(np.int64)))
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), lists], schema=pa.schema([*(batch.schema.field(i) for i in rest), pa.field(sets, lists.type)]))
+
+    fields = [f for i, f in enumerate(df.schema.fields) if i != at]
+    return df.mapInArrow(collect, T.StructType([*fields, T.StructField(sets, T.ArrayType(T.LongType()))]))
