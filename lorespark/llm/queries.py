@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package; each has QUERIES (name -> (spark, sf_dir) -> DataFrame) and SQL (name -> text).
-MODULES = ("queries_pairs", "queries_text", "queries_chat", "queries_mix")
+MODULES = ("queries_pairs", "queries_text", "queries_chat", "queries_mix", "queries_encoding")
 
 QUERIES: dict = {}
 SQL: dict = {}
