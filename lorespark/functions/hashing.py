@@ -7,6 +7,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WRAP = (1 << 64) - 1
 
@@ -38,7 +39,7 @@ def signed_dimension(dimensions: int):
     return project
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_hash(parts: pd.Series, confidence: pd.Series) -> pd.Series:
     """SHA-256 of an entry's content: an array of strings closed by 0x00, then the confidence as 8 little-endian bytes."""
     return pd.Series([hashlib.sha256(b"".join((p or "").encode() + b"\0" for p in (a if a is not None else [])) + struct.pack("<d", 0.0 if pd.isna(c) else c)).hexdigest() for a, c in zip(parts, confidence)], dtype=object)
