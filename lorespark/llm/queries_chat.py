@@ -10,16 +10,19 @@ from lorespark.llm.staging import staged
 from lorespark.session import table
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of every session that can be rebuilt whole."""
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(conversation_rows(table(spark, sf_dir, "messages")))
     return kept_turns(rows, link_trees(reply_links(rows)))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of every session that can be rebuilt whole."""
+    return _turns(spark, sf_dir).select("session_id", "turn_id", "prompt_message_id", "response_message_id")
+
+
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rebuilt sessions: turns in order with prompt and response."""
-    rows = staged(conversation_rows(table(spark, sf_dir, "messages")))
-    return conversations(rows, kept_turns(rows, link_trees(reply_links(rows))))
+    return conversations(table(spark, sf_dir, "messages"), _turns(spark, sf_dir))
 
 
 _FOUND = r"""
