@@ -58,8 +58,8 @@ _LINES = "l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line
 SQL = {
     "vault_round_trip": f"WITH {E} SELECT id, kind, title, confidence, coalesce(len(list_filter(tags, lambda t: t IS NOT NULL)), 0)::INT AS n_tags, coalesce(len(list_filter(links, lambda t: t IS NOT NULL)), 0)::INT AS n_links, epoch_us(updated) AS updated, epoch_us(expires) AS expires, superseded_by, length(trim(body))::INT AS body_chars, NULL::VARCHAR AS error FROM e",
     "memory_points": f"""WITH {_LINES.format('memory_import')}, t AS (SELECT id, k, trim(line) AS line FROM l), h AS (SELECT *, CASE WHEN starts_with(line, '#') THEN trim(regexp_replace(line, '^#+', '')) END AS h FROM t),
-g AS (SELECT *, CASE WHEN regexp_matches(h, '(?i)^task group:') OR starts_with(line, '# ') THEN trim(regexp_replace(h, '(?i)^task group:', '')) END AS g FROM h), a AS (SELECT *, CASE WHEN g IS NOT NULL THEN '' WHEN regexp_matches(h, '(?i)^task ') THEN trim(regexp_replace(h, '(?i)^task ', '')) END AS t FROM g),
-x AS (SELECT *, CASE WHEN h IS NOT NULL THEN CASE WHEN t IS NOT NULL THEN '' ELSE h END END AS x FROM a),
+g AS (SELECT *, CASE WHEN regexp_matches(h, '(?i)^task group:') OR starts_with(line, '# ') THEN trim(regexp_replace(h, '(?i)^task group:', '')) END AS g FROM h), a AS (SELECT *, CASE WHEN g IS NOT NULL THEN '' WHEN regexp_matches(h, '(?i)^task ') THEN trim(regexp_replace(h, '(?i)^task ', '')) WHEN starts_with(line, '## ') THEN '' END AS t FROM g),
+x AS (SELECT *, CASE WHEN h IS NOT NULL THEN CASE WHEN g IS NOT NULL OR regexp_matches(h, '(?i)^task ') THEN '' ELSE h END END AS x FROM a),
 c AS (SELECT id, k, line, h, last_value(g IGNORE NULLS) OVER w AS task_group, last_value(t IGNORE NULLS) OVER w AS task, last_value(x IGNORE NULLS) OVER w AS section, sum((starts_with(line, '- ') OR h IS NOT NULL)::INT) OVER w AS b FROM x WINDOW w AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING)),
 j AS (SELECT id, task_group, task, section, bool_or(starts_with(line, '- ')) AS ok, regexp_replace(string_agg(CASE WHEN starts_with(line, '- ') THEN trim(substring(line, 3)) ELSE line END, ' ' ORDER BY k), '\\s+', ' ', 'g') AS text FROM c WHERE h IS NULL AND line <> '' AND task_group IS NOT NULL GROUP BY id, b, task_group, task, section)
 SELECT DISTINCT id, task_group, task, section, CASE WHEN starts_with(lower(section), 'failure') THEN 'lesson' ELSE 'knowledge' END AS kind, text FROM j WHERE ok AND text <> '' AND task_group <> '' AND regexp_matches(lower(section), 'preference|knowledge|failure|general tip|key step|lesson')""",

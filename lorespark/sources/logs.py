@@ -98,8 +98,9 @@ def note_points(notes: DataFrame) -> DataFrame:
     lines = notes.select("id", F.posexplode(F.split("text", "\n")).alias("place", "raw")).select("id", "place", F.trim("raw").alias("line"))
     heading = F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", "")))
     marked = lines.withColumn("_h", heading).withColumn("_g", F.when(F.col("_h").rlike("(?i)^task group:") | F.col("line").startswith("# "), F.trim(F.regexp_replace("_h", "(?i)^task group:", ""))))
-    marked = marked.withColumn("_t", F.when(F.col("_g").isNotNull(), "").when(F.col("_h").rlike("(?i)^task "), F.trim(F.regexp_replace("_h", "(?i)^task ", ""))))
-    marked = marked.withColumn("_x", F.when(F.col("_h").isNotNull(), F.when(F.col("_t").isNotNull(), "").otherwise(F.col("_h"))))
+    marked = marked.withColumn("_t", F.when(F.col("_g").isNotNull(), "").when(F.col("_h").rlike("(?i)^task "), F.trim(F.regexp_replace("_h", "(?i)^task ", ""))).when(F.col("line").startswith("## "), ""))
+    names = F.col("_g").isNotNull() | F.col("_h").rlike("(?i)^task ")
+    marked = marked.withColumn("_x", F.when(F.col("_h").isNotNull(), F.when(names, "").otherwise(F.col("_h"))))
     down = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     carried = marked.select("id", "place", "line", "_h", *[F.last(c, ignorenulls=True).over(down).alias(n) for c, n in (("_g", "task_group"), ("_t", "task"), ("_x", "section"))])
     starts = F.col("line").startswith("- ") | F.col("_h").isNotNull()
