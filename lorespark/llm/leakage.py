@@ -67,14 +67,14 @@ def _item_grams(items: DataFrame, n: int) -> tuple[np.ndarray, ...]:
     return distinct, start, np.append(start[1:], len(grams)), ids[owner], (at + 1).astype(np.int32)
 
 
-def leaked_windows(documents: DataFrame, items: DataFrame, n: int = 13, text: str = "text") -> DataFrame:
-    """One row per document row and verified hit: the document's columns and ``leaked`` (item_id, item_at, at): the
-    window of ``n`` words from place ``at`` (from 1) of the document stands in the item from place ``item_at``.
+def leaked_windows(documents: DataFrame, items: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document row and verified hit: doc_id, text and ``leaked`` (item_id, item_at, at): the window of ``n``
+    words from place ``at`` (from 1) of the document stands in the item from place ``item_at``.
 
     Items and documents with a null or shorter text have no hits; a null item_id is no item; empty tables give an empty
-    result; repeated document rows each come out; repeated item rows count once. Documents may have columns of any
-    name but ``leaked``: those of this operator start with an underscore.
+    result; repeated document rows each come out; repeated item rows count once; other columns are ignored.
     """
+    documents = documents.select(doc_id, text)
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     sized = items.select("item_id", "text", F.greatest(F.lit(0), F.size(words(F.col("text"))) - (n - 1)).cast("bigint").alias("_g"))
     total = sized.agg(F.sum("_g")).first()[0] or 0

@@ -60,7 +60,7 @@ def end_facts(values: DataFrame) -> DataFrame:
         .when((item != "") & ~item.contains("/"), F.struct(F.lit("item").alias("kind"), F.regexp_extract(item, r"([\p{L}\p{N}]+)$", 1).alias("piece")))
         .when(item.rlike(r"/\S*\.\w+$") | path, F.struct(F.lit("path").alias("kind"), F.regexp_extract("line", r"\.(\w+)$", 1).alias("piece")))
     )
-    request = (F.col("field_name") == "prompt") & ~F.col("t").contains("\n") & (F.length("t") <= REQUEST_CHARS) & (F.size(F.split("t", r"\s+")) <= REQUEST_WORDS) & ~F.col("t").rlike(r"^\p{Lu}") & ~F.col("t").rlike(r"[.?!]\s")
+    request = F.coalesce(F.col("field_name") == "prompt", F.lit(False)) & ~F.col("t").contains("\n") & (F.length("t") <= REQUEST_CHARS) & (F.size(F.split("t", r"\s+")) <= REQUEST_WORDS) & ~F.col("t").rlike(r"^\p{Lu}") & ~F.col("t").rlike(r"[.?!]\s")
     return at.select(
         "source_table",
         "record_id",
