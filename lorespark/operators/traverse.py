@@ -36,8 +36,8 @@ def neighbourhood(edges: DataFrame, origin: str, depth: int = 2, least: float =
 
 
 def widest_paths(edges: DataFrame, origin: str, max_rounds: int = 100) -> DataFrame:
-    """id, bottleneck, hops, via: for every node that can be reached, the greatest least weight on a path from the origin,
-    with the fewest hops; via leads back along it."""
+    """id, bottleneck, hops, via: for every node that can be reached, the greatest least weight on a path from the origin;
+    hops is the length of the path found, and via leads back along it."""
     step = both_ways(edges).groupBy("a", "b").agg(F.max("weight").alias("weight"))
     best = edges.sparkSession.createDataFrame([(origin, 1.0, 0, None)], "id string, bottleneck double, hops int, via string")
     front = best

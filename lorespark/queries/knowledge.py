@@ -122,7 +122,7 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = declared(spark, sf_dir)
     weighted = edges.withColumn("weight", F.when(F.col("kind") == "link", 0.5).otherwise(1.0))
-    return T.widest_paths(weighted, _origin(edges)).select("id", "bottleneck", "hops")
+    return T.widest_paths(weighted, _origin(edges)).select("id", "bottleneck")
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +264,12 @@ SQL = {
     "graph_dot": f"""WITH {_DECL} SELECT '  "' || from_id || '" -> "' || to_id || '" [label="' || kind || ' 1.00"];' AS line FROM decl""",
     "neighbourhood": f"WITH {_DECL}, o AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), h1 AS (SELECT DISTINCT b AS id FROM a WHERE a = (SELECT id FROM o)), h2 AS (SELECT DISTINCT b AS id FROM a JOIN h1 ON a.a = h1.id) SELECT id, 1.0::DOUBLE AS score, min(depth)::INT AS depth FROM (SELECT id, 1 AS depth FROM h1 UNION ALL SELECT id, 2 FROM h2) WHERE id <> (SELECT id FROM o) GROUP BY id",
     "components": f"WITH RECURSIVE {_DECL}, a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), r(id, root) AS (SELECT id, id FROM e UNION SELECT a.b, r.root FROM r JOIN a ON a.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id",
+    "widest_paths": f"WITH RECURSIVE {_DECL}, o AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), a AS (SELECT from_id AS a, to_id AS b, kind FROM decl UNION SELECT to_id, from_id, kind FROM decl), r1(id) AS (SELECT id FROM o UNION SELECT b FROM r1 JOIN a ON a = id AND kind = 'supersedes'), r2(id) AS (SELECT id FROM o UNION SELECT b FROM r2 JOIN a ON a = id) SELECT id, CASE WHEN id IN (SELECT id FROM r1) THEN 1.0 ELSE 0.5 END::DOUBLE AS bottleneck FROM r2",
+    "component_sizes": f"WITH RECURSIVE {_DECL}, a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), r(id, root) AS (SELECT id, id FROM e UNION SELECT a.b, r.root FROM r JOIN a ON a.a = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), k AS (SELECT component, count(*) AS size FROM c GROUP BY component) SELECT size, count(*) AS n_components FROM k GROUP BY size",
+    "monthly_reflection": f"""WITH {_STATED}, ds AS (SELECT subject FROM st GROUP BY subject HAVING count(*) FILTER (net > 0) > 0 AND count(*) FILTER (net < 0) > 0),
+t AS (SELECT strftime(updated AT TIME ZONE 'UTC', '%Y-%m') AS period, unnest({_SUBJ}) AS subject FROM e WHERE status NOT IN ('superseded', 'archived')), g AS (SELECT period, subject, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT period, count(*) FILTER (subject IN (SELECT subject FROM ds)) AS n_disputed, count(*) FILTER (n >= 2) AS n_patterns FROM g GROUP BY period), m AS (SELECT strftime(updated AT TIME ZONE 'UTC', '%Y-%m') AS period, count(*) AS n_entries FROM e GROUP BY 1)
+SELECT period, n_entries, coalesce(n_disputed, 0) AS n_disputed, coalesce(n_patterns, 0) AS n_patterns FROM m LEFT JOIN p USING (period)""",
     "entry_topics": f"WITH {_TOPIC} SELECT id, topic, basis FROM topic",
     "topics": f"WITH {_TOPIC} SELECT topic, basis, count(*) AS n_entries, round(count(*) / (SELECT count(*) FROM e), 6) AS share, round(avg(confidence), 6) AS mean_confidence FROM topic JOIN e USING (id) GROUP BY topic, basis ORDER BY n_entries DESC, topic, basis LIMIT 7",
     "title_token_df": f"WITH {E}, {_TITLE} SELECT token, df FROM tdf",

@@ -182,6 +182,8 @@ d AS (SELECT t, count(*) AS df FROM f GROUP BY t),
 b AS (SELECT id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))) AS score FROM f JOIN d USING (t), st GROUP BY id {f'HAVING count(*) = {len(terms)}' if every else ''})"""
 
 
+#: The vectors again, with the free text of the search as a row of its own that does not count for the vocabulary.
+_ASKED = _VECTORS.replace("AS text FROM e)", f"AS text FROM e UNION ALL SELECT '?', '{QUERY}')", 1).replace("AS df FROM tc GROUP", "AS df FROM tc WHERE id <> '?' GROUP", 1)
 _TERMS = [t for t, _ in K.query_terms(QUERY)]
 SQL = {
     "entry_tokens": f"WITH {E}, x AS (SELECT id, title AS text FROM e), {_token_sql('x')} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k, u) - 1)::INT AS place, token FROM tok",
@@ -195,6 +197,13 @@ SQL = {
     "bm25_any": f"WITH {_bm25_sql(_TERMS, False)} SELECT id, round(score, 6) AS score FROM b",
     "bm25_all": f"WITH {_bm25_sql(['stale', 'lock'], True)} SELECT id, round(score, 6) AS score FROM b",
     "bm25_top": f"WITH {_bm25_sql(_TERMS, False)} SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 20",
+    "hybrid_search": f"""WITH {_ASKED}, {_bm25_sql(_TERMS, False).removeprefix(E + ',')},
+kw AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 40),
+sv AS (SELECT v.id, row_number() OVER (ORDER BY sum(q.w * v.w) DESC, v.id) AS rank FROM vec q JOIN vec v ON q.id = '?' AND v.id <> '?' AND q.dim = v.dim GROUP BY v.id HAVING sum(q.w * v.w) > 0.02 QUALIFY rank <= 40)
+SELECT id, round(coalesce(1 / (60 + kw.rank), 0) + coalesce(1 / (60 + sv.rank), 0), 6) AS score, kw.rank AS first_rank, sv.rank AS second_rank FROM kw FULL JOIN sv USING (id) ORDER BY coalesce(1 / (60 + kw.rank), 0) + coalesce(1 / (60 + sv.rank), 0) DESC, id LIMIT 10""",
+    "explained_neighbours": f"""WITH {_NEAR}, dt AS (SELECT dim, arg_min(token, (-df, token)) AS t FROM vocab GROUP BY dim),
+sh AS (SELECT query_id AS id_a, n.id AS id_b, t, row_number() OVER (PARTITION BY query_id, n.id ORDER BY abs(a.w * b.w) DESC, t) AS r FROM near n JOIN vec a ON a.id = query_id JOIN vec b ON b.id = n.id AND b.dim = a.dim JOIN dt ON dt.dim = a.dim WHERE n.rank <= 3)
+SELECT id_a, id_b, string_agg(t, ', ' ORDER BY r) AS terms FROM sh WHERE r <= 4 GROUP BY ALL""",
     "dense_neighbours": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s QUALIFY rank <= 10""",
 }
