@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package; each has QUERIES (name -> (spark, sf_dir) -> DataFrame) and SQL (name -> text).
-MODULES = ("integrity", "reports", "retrieval", "knowledge", "ingest")
+MODULES = ("integrity", "reports", "retrieval", "knowledge", "ingest", "maintenance")
 
 
 def collect() -> tuple[dict, dict]:
