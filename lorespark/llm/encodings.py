@@ -38,13 +38,19 @@ USES = 3
 _WORD = r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*"
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _UTF8_CJK = re.compile(rb"(?:[\xe4-\xe9][\x80-\xbf]{2}|\xef\xbc[\x80-\xbf]|\xe3\x80[\x80-\xbf]){3,}")
+#: Characters that only a wide encoding holds, and those beyond ASCII that a single-byte one may hold.
+_WIDE_CHAR, _NARROW_CHAR = re.compile("[\u2e80-\U0010ffff]"), re.compile("[\x80-\u2e7f]")
+_C1 = re.compile("[\x80-\x9f]")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
 def to_bytes(text: str, encoding: str) -> bytes:
     """The bytes that ``encoding`` reads as ``text``; bytes that a Windows code page leaves open count as themselves."""
-    if not encoding.startswith("cp125"):
+    try:
         return text.encode(encoding)
+    except UnicodeEncodeError:
+        if not encoding.startswith("cp125") or not _C1.search(text):
+            raise
     return b"".join(bytes((ord(c),)) if 0x80 <= ord(c) < 0xA0 else c.encode(encoding) for c in text)
 
 
@@ -70,7 +76,10 @@ def repairs(word: str, pairs: tuple[tuple[str, str], ...], known, depth: int = 3
     ``known`` tells whether a character belongs to the alphabet. Text garbled more than once is turned back as often.
     """
     best, gain = None, 0
+    wide, narrow = _WIDE_CHAR.search(word), _NARROW_CHAR.search(word)
     for pair in pairs:
+        if not (wide if pair[0] == "gbk" else narrow):
+            continue
         out = _repaired(word, pair, known, depth)
         if out is not None and len(word) - len(out) + 1 > gain:
             best, gain = out, len(word) - len(out) + 1
@@ -151,9 +160,12 @@ def lexicon(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.explode(_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+_OF_WIDE, _OF_NARROW = [p for p in PAIRS if p[0] == "gbk"], [p for p in PAIRS if p[0] != "gbk"]
+
+
 def _turner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(w, n, *p, out) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in PAIRS if (out := _turned(w, p)) is not None]
+        rows = [(w, n, *p, out) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in (_OF_WIDE if _WIDE_CHAR.search(w) else _OF_NARROW) if (out := _turned(w, p)) is not None]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["garbled", "n", "read_as", "written_as", "word"])
 
