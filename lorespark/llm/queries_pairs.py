@@ -28,7 +28,7 @@ def value_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "entries")
 
     def clean(values, lower: bool):
-        bare = F.transform(values, lambda v: F.regexp_replace(F.lower(v) if lower else v, r"(?U)^\s+|\s+$", ""))
+        bare = F.transform(values, lambda v: F.regexp_replace(F.lower(v) if lower else v, r"(?U)^\s+|(?<!\s)\s+$", ""))
         return F.filter(bare, lambda v: v.isNotNull() & (F.length(v) > 0))
 
     tags = entries.select(F.lit("tags").alias("field_name"), "id", clean(F.col("tags"), True).alias("values"))

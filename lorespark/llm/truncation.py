@@ -29,12 +29,12 @@ REQUEST_WORDS, REQUEST_CHARS = 8, 60
 
 _MARK = r"(?i)\[[^\[\]\n]*(?:truncat|interrupt|cut|incomplete|omitted|abridged)[^\[\]\n]*\]$"
 _TRAILS = r"(?i)\b(?:and so on|and so forth|etc\.?|usw\.?)\s*(?:…|\.\.\.)$"
-_ELLIPSIS = r"(?:…|\.{3,})$"
+_ELLIPSIS = r"(?:…|\.\.\.)$"
 _TERMINAL = r"[.?!。？！]['\"”’»)\]）」』*_]*$"
 _STEM = r"/[\w-]+\.$"
 _LIST = r"^\s*(?:[-*•]|\d+[.)])\s+(\S+)$"
 _COMMAND = r"^\s*[$>]\s+\S"
-_PATH = r"^(?:\p{L}+:?\s+)?\S*/\S*\.\w+$"
+_PATH = r"^(?:\p{L}++:?\s++)?\S*/[^\s/]*\.\w+$"
 
 
 def _last_line(text: Column) -> Column:
@@ -46,7 +46,7 @@ def end_facts(values: DataFrame) -> DataFrame:
 
     ``values``: source_table, record_id, turn_id, field_name, source, text.
     """
-    text = F.regexp_replace("text", r"(?U)\s+$", "")
+    text = F.regexp_replace("text", r"(?U)(?<!\s)\s+$", "")
     at = values.select("source_table", "record_id", "turn_id", "field_name", F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source"), "text", text.alias("t"))
     at = at.where("record_id is not null and t is not null and t <> ''").withColumn("line", _last_line(F.col("t")))
     sound = F.regexp_replace("text", "�+$", "")
@@ -58,7 +58,7 @@ def end_facts(values: DataFrame) -> DataFrame:
     closing = (
         F.when(command, F.struct(F.lit("command").alias("kind"), F.regexp_extract("line", r"([\p{L}\p{N}]+)$", 1).alias("piece")))
         .when((item != "") & ~item.contains("/"), F.struct(F.lit("item").alias("kind"), F.regexp_extract(item, r"([\p{L}\p{N}]+)$", 1).alias("piece")))
-        .when(item.rlike(r"/\S*\.\w+$") | path, F.struct(F.lit("path").alias("kind"), F.regexp_extract("line", r"\.(\w+)$", 1).alias("piece")))
+        .when(item.rlike(r"/[^\s/]*\.\w+$") | path, F.struct(F.lit("path").alias("kind"), F.regexp_extract("line", r"\.(\w+)$", 1).alias("piece")))
     )
     request = F.coalesce(F.col("field_name") == "prompt", F.lit(False)) & ~F.col("t").contains("\n") & (F.length("t") <= REQUEST_CHARS) & (F.size(F.split("t", r"\s+")) <= REQUEST_WORDS) & ~F.col("t").rlike(r"^\p{Lu}") & ~F.col("t").rlike(r"[.?!]\s")
     return at.select(
@@ -69,7 +69,7 @@ def end_facts(values: DataFrame) -> DataFrame:
         "source",
         F.length("text").alias("n_chars"),
         F.octet_length(sound).alias("n_bytes"),
-        (F.col("t").rlike(_MARK) | (ellipsis & ~trails & F.col("t").rlike(r"\S(?:…|\.{3,})$")) | F.col("t").endswith("�") | (fences % 2 == 1)).alias("marked"),
+        (F.col("t").rlike(_MARK) | (ellipsis & ~trails & F.col("t").rlike(r"\S(?:…|\.\.\.)$")) | F.col("t").endswith("�") | (fences % 2 == 1)).alias("marked"),
         ((F.col("line") == "```") | (F.col("t").rlike(_TERMINAL) & ~ellipsis & ~F.col("t").rlike(_STEM))).alias("terminal"),
         (trails | ellipsis | request).alias("closed"),
         closing["kind"].alias("kind"),
