@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What marks a sentence as lasting, and what counts as evidence.
 DURABLE = r"(?i)\b(?:decision|preference|root cause|always|never|must|because|instead|failure mode|lesson|fixed)\b"
-EVIDENCE = r"\w+(?:/[\w.-]+)+|\b\d+(?:\.\d+)?\s?(?:%|ms|s|seconds|MiB|GB|files|rows|tokens)|\b[0-9a-f]{7,40}\b|`[^`]+`"
+EVIDENCE = r"\b\w+(?:/[\w.-]+)+|\b\d+(?:\.\d+)?\s?(?:%|ms|s|seconds|MiB|GB|files|rows|tokens)|\b[0-9a-f]{7,40}\b|`[^`]+`"
 
 
 def tag_vocabulary(entries: DataFrame) -> DataFrame:

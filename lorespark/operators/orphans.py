@@ -25,7 +25,7 @@ NUMBER_DIGITS = 15
 
 def trimmed(value: Column) -> Column:
     """``value`` without white space at its ends; null where nothing is left."""
-    bare = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(value, r"(?U)^\s+|(?<!\s)\s+$", "")
     return F.when(F.length(bare) > 0, bare)
 
 
