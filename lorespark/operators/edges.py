@@ -2,6 +2,9 @@
 
 Edges are rows (from_id, to_id, kind, weight, evidence). Nothing here pairs up the members of a group: tag edges join on
 the rare tags of a set only, between distinct sets; semantic edges come from a stated set of query rows.
+
+A tag set is named by the first of its entries. A ``tag`` edge runs between two sets and stands for all pairs of their
+members; a ``member`` edge ties an entry to its set, and the members of a set stand for pairs of weight 1.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ from lorespark.functions.text import subject_tags
 from lorespark.operators.orphans import trimmed
 
 # Order of the kinds, and the kinds that have no direction or are never pruned.
-KIND_ORDER = ["link", "supersedes", "tag", "semantic", "contradicts", "corroborates"]
+KIND_ORDER = ["link", "supersedes", "tag", "semantic", "contradicts", "corroborates", "member"]
 SYMMETRIC = ["tag", "semantic", "contradicts", "corroborates"]
-LOAD_BEARING = ["link", "supersedes", "contradicts"]
+LOAD_BEARING = ["link", "supersedes", "contradicts", "member"]
 
 
 def kind_rank(kind: Column) -> Column:
@@ -42,6 +45,16 @@ def tag_sets(entries: DataFrame) -> DataFrame:
     return entries.select("id", subject_tags(F.col("tags")).alias("subjects")).where(F.size("subjects") > 0).groupBy("subjects").agg(F.count("*").alias("n_entries"), F.min("id").alias("first_id"))
 
 
+def tag_members(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, first_id, subjects: each entry with subject tags and its set in ``sets`` (see :func:`tag_sets`)."""
+    return entries.select("id", subject_tags(F.col("tags")).alias("subjects")).where(F.size("subjects") > 0).join(sets.select("subjects", "first_id"), "subjects").select("id", "first_id", "subjects")
+
+
+def member_edges(members: DataFrame) -> DataFrame:
+    """member edges from each entry to the first of its set, one per entry."""
+    return members.where("id <> first_id").select(F.col("id").alias("from_id"), F.col("first_id").alias("to_id"), F.lit("member").alias("kind"), F.lit(1.0).alias("weight"), F.concat(F.lit("same tags "), F.array_join("subjects", ", ")).alias("evidence"))
+
+
 def tag_set_edges(sets: DataFrame, least: float = 0.34) -> DataFrame:
     """first_a, first_b, weight, shared: pairs of distinct subject sets with a Jaccard similarity of ``least`` or more.
 
@@ -106,9 +119,19 @@ def pruned(edges: DataFrame, budget: int = 24) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """id, degree, weighted_degree of the nodes that have edges."""
-    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"), "weight")
-    return ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum("weight").alias("weighted_degree"))
+    """id, degree, weighted_degree of the nodes that have edges. Edges between tag sets count for every member, once for
+    each member of the other set, from the sizes of the sets."""
+    ends = edges.where(~F.col("kind").isin("tag", "member")).select(F.explode(F.array("from_id", "to_id")).alias("id"), F.lit(1).cast("bigint").alias("degree"), F.col("weight").alias("weighted_degree"))
+    member = edges.where(F.col("kind") == "member").select(F.col("from_id").alias("id"), F.col("to_id").alias("_set"))
+    others = member.groupBy("_set").agg(F.count("*").alias("_others"))
+    tag = edges.where(F.col("kind") == "tag")
+    sides = tag.select(F.col("from_id").alias("_near"), F.col("to_id").alias("_set"), "weight").unionByName(tag.select(F.col("to_id").alias("_near"), F.col("from_id").alias("_set"), "weight"))
+    n = F.coalesce(F.col("_others"), F.lit(0)) + 1
+    across = sides.join(others, "_set", "left").select(F.col("_near").alias("_set"), n.alias("degree"), (n * F.col("weight")).alias("weighted_degree"))
+    within = others.select("_set", F.col("_others").alias("degree"), F.col("_others").cast("double").alias("weighted_degree"))
+    of_set = across.unionByName(within).groupBy("_set").agg(F.sum("degree").alias("degree"), F.sum("weighted_degree").alias("weighted_degree"))
+    every = ends.unionByName(of_set.withColumnRenamed("_set", "id")).unionByName(member.join(of_set, "_set").drop("_set"))
+    return every.groupBy("id").agg(F.sum("degree").alias("degree"), F.sum("weighted_degree").alias("weighted_degree"))
 
 
 def nodes(entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,11 +140,10 @@ def nodes(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_summary(n_entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, mean degree, isolated nodes."""
+    """One row: nodes, edges (see :func:`degrees`), density, mean degree, isolated nodes."""
     n = n_entries.agg(F.count("*").alias("n_nodes"))
-    e = edges.agg(F.count("*").alias("n_edges"))
-    used = degrees(edges).agg(F.count("*").alias("_used"))
-    one = n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(used))  # single rows
+    used = degrees(edges).agg(F.count("*").alias("_used"), F.expr("coalesce(sum(degree), 0) div 2").alias("n_edges"))
+    one = n.crossJoin(F.broadcast(used))  # single rows
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     return one.select("n_nodes", "n_edges", F.coalesce(F.col("n_edges") / F.nullif(pairs, F.lit(0.0)), F.lit(0.0)).alias("density"), F.coalesce(2 * F.col("n_edges") / F.nullif(F.col("n_nodes"), F.lit(0)), F.lit(0.0)).alias("mean_degree"), (F.col("n_nodes") - F.col("_used")).alias("n_isolated"))
 

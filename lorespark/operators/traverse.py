@@ -18,26 +18,40 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, origin: str, depth: int = 2, least: float = 0.0, kinds: list[str] | None = None) -> DataFrame:
     """id, score, depth, via: nodes within ``depth`` hops; the score is the greatest product of weights over walks that
-    do not return to the origin, depth the fewest hops with that score, via the node before."""
+    do not return to the origin, depth the fewest hops with that score, via the node before. From a set of tags to another,
+    or between members of one set, is one hop."""
     used = edges.where(F.col("weight") >= least)
     if kinds:
-        used = used.where(F.col("kind").isin(kinds))
-    step = both_ways(used).where(F.col("b") != origin)
+        used = used.where(F.col("kind").isin([*kinds, "member"] if "tag" in kinds else kinds))
+    step = both_ways(used.where(~F.col("kind").isin("tag", "member")))
+    between = both_ways(used.where(F.col("kind") == "tag"))
+    members = used.where(F.col("kind") == "member").select(F.col("from_id").alias("_member"), F.col("to_id").alias("_set"))
     spark = edges.sparkSession
     best = spark.createDataFrame([(origin, 1.0, 0, None)], "id string, score double, depth int, via string")
     front = best
     for d in range(1, depth + 1):
-        reached = front.join(step, front.id == step.a).select(F.col("b").alias("id"), (F.col("score") * F.col("weight")).alias("score"), F.lit(d).alias("depth"), F.col("a").alias("via"))
-        every = best.unionByName(reached)
+        stepped = front.join(step, front.id == step.a).select(F.col("b").alias("id"), (F.col("score") * F.col("weight")).alias("score"), F.col("a").alias("via"))
+        reached = stepped.unionByName(_over_sets(front, between, members)).where(F.col("id") != origin)
+        every = best.unionByName(reached.select("id", "score", F.lit(d).alias("depth"), "via"))
         top = F.max(F.struct("score", (-F.col("depth")).alias("_d"), "via"))
         best = cut_lineage(every.groupBy("id").agg(top.alias("_t")).select("id", "_t.score", (-F.col("_t._d")).cast("int").alias("depth"), "_t.via"))
         front = best.where(F.col("depth") == d)
     return best.where(F.col("id") != origin)
 
 
+def _over_sets(front: DataFrame, between: DataFrame, members: DataFrame) -> DataFrame:
+    """id, score, via: the members of the tag sets of ``front`` and of the sets next to these. Rows are reduced to the best
+    of each set before they go to its members."""
+    best = F.max(F.struct("score", "via")).alias("_t")
+    own = front.join(members, front.id == members["_member"], "left").groupBy(F.coalesce("_set", "id").alias("a")).agg(F.max(F.struct("score", F.col("id").alias("via"))).alias("_t")).select("a", "_t.score", "_t.via")
+    next_to = own.join(between, "a").select(F.col("b").alias("id"), (F.col("score") * F.col("weight")).alias("score"), "via")
+    sets = next_to.unionByName(own.withColumnRenamed("a", "id")).groupBy("id").agg(best).select("id", "_t.score", "_t.via")
+    return sets.unionByName(sets.join(members, sets.id == members["_set"]).select(F.col("_member").alias("id"), "score", "via"))
+
+
 def widest_paths(edges: DataFrame, origin: str, max_rounds: int = 100) -> DataFrame:
     """id, bottleneck, hops, via: for every node that can be reached, the greatest least weight on a path from the origin;
-    hops is the length of the path found, and via leads back along it."""
+    hops is the length of the path found in rows of ``edges`` (a membership in a tag set is one), and via leads back along it."""
     step = both_ways(edges).groupBy("a", "b").agg(F.max("weight").alias("weight"))
     best = edges.sparkSession.createDataFrame([(origin, 1.0, 0, None)], "id string, bottleneck double, hops int, via string")
     front = best

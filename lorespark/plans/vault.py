@@ -77,16 +77,19 @@ class Vault:
     # the graph
 
     def graph(self, queries: Column | None = None) -> DataFrame:
-        """Edges of all kinds within the budget. ``queries`` says which entries look for semantic neighbours (all by default;
+        """Edges of all kinds within the budget, which tag sets have apart from the entries; membership in a set (kind
+        ``member``) always stays. ``queries`` says which entries look for semantic neighbours (all by default;
         each block of queries is one scan of all vectors, so on a large vault name a part)."""
         c = self.config
         _, packed, _ = self.space()
         near = cut_lineage(vectors.nearest(packed if queries is None else packed.join(self.entries.where(queries).select("id"), "id", "left_semi"), packed, c.semantic_top_k, c.semantic_min_similarity, c.dimensions))
         firm = claims.stated(self.entries)
-        tagged = edges.tag_set_edges(cut_lineage(edges.tag_sets(self.entries)), c.tag_min_jaccard)
+        sets = cut_lineage(edges.tag_sets(self.entries))
+        tagged = edges.tag_set_edges(sets, c.tag_min_jaccard)
         tag = tagged.select(F.col("first_a").alias("from_id"), F.col("first_b").alias("to_id"), F.lit("tag").alias("kind"), "weight", F.concat(F.lit("shares "), "shared").alias("evidence"))
-        parts = [edges.declared_edges(self.entries), tag, edges.semantic_edges(near), edges.claim_edges(claims.contradictions(self.entries)), edges.corroborations(near, firm, c.corroborate_min_similarity)]
-        return edges.pruned(cut_lineage(edges.all_edges(*parts)), c.max_edges_per_node)
+        between = edges.pruned(cut_lineage(edges.all_edges(tag)), c.max_edges_per_node).unionByName(edges.member_edges(edges.tag_members(self.entries, sets)))
+        parts = [edges.declared_edges(self.entries), edges.semantic_edges(near), edges.claim_edges(claims.contradictions(self.entries)), edges.corroborations(near, firm, c.corroborate_min_similarity)]
+        return edges.pruned(cut_lineage(edges.all_edges(*parts)), c.max_edges_per_node).unionByName(between)
 
     @staticmethod
     def neighbours(graph: DataFrame, id_: str, depth: int = 2, least: float = 0.0, kinds: list[str] | None = None) -> DataFrame:

@@ -64,6 +64,12 @@ def tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.tag_sets(_e(spark, sf_dir)).select("first_id", "n_entries", F.array_join("subjects", ", ").alias("subjects"))
 
 
+def tag_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry with subject tags and the first entry of its set: with edges_tag, all its tag edges."""
+    e = _e(spark, sf_dir)
+    return G.tag_members(e, G.tag_sets(e)).select("id", "first_id", F.array_join("subjects", ", ").alias("subjects"))
+
+
 def edges_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.tag_set_edges(cut_lineage(G.tag_sets(_e(spark, sf_dir)))).select("first_a", "first_b", F.round("weight", 6).alias("weight"), "shared")
 
@@ -202,7 +208,7 @@ def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        entry_claims, capture_claims, contradictions, disputed_subjects, patterns, monthly_reflection, edges_declared, tag_sets, edges_tag, edges_semantic, edges_corroborating, edges_pruned, edge_counts, node_degrees, hubs,
+        entry_claims, capture_claims, contradictions, disputed_subjects, patterns, monthly_reflection, edges_declared, tag_sets, tag_members, edges_tag, edges_semantic, edges_corroborating, edges_pruned, edge_counts, node_degrees, hubs,
         graph_summary, graph_dot, neighbourhood, widest_paths, components, component_sizes, entry_topics, topics, title_token_df, topic_keywords, topic_satellites, tag_vocabulary, canonical_tags, extracted_captures,
         capture_deliveries, queue_states, related_entries, session_states, session_turns,
     )
@@ -255,6 +261,7 @@ SQL = {
     "patterns": f"WITH {E}, u AS (SELECT id, title, unnest({_SUBJ}) AS subject FROM e WHERE status NOT IN ('superseded', 'archived')), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY title, id) AS r, count(*) OVER (PARTITION BY subject) AS n_members FROM u) SELECT subject, any_value(n_members) AS n_members, string_agg(title, ' | ' ORDER BY r) FILTER (r <= 5) AS first_titles FROM r WHERE n_members >= 3 GROUP BY subject",
     "edges_declared": f"WITH {_DECL} SELECT from_id, to_id, kind FROM decl",
     "tag_sets": f"WITH {_SETS} SELECT first_id, n_entries, array_to_string(subjects, ', ') AS subjects FROM ts",
+    "tag_members": f"WITH {_SETS} SELECT m.id, first_id, array_to_string(subjects, ', ') AS subjects FROM (SELECT id, {_SUBJ} AS subjects FROM e) m JOIN ts USING (subjects)",
     "edges_tag": f"WITH {_SETS} SELECT a.first_id AS first_a, b.first_id AS first_b, round(len(list_intersect(a.subjects, b.subjects)) / len(list_distinct(list_concat(a.subjects, b.subjects))), 6) AS weight, array_to_string(list_sort(list_intersect(a.subjects, b.subjects)), ', ') AS shared FROM ts a JOIN ts b ON a.first_id < b.first_id AND list_has_any(a.subjects, b.subjects) WHERE len(list_intersect(a.subjects, b.subjects)) / len(list_distinct(list_concat(a.subjects, b.subjects))) >= 0.34 - 1e-9",
     "edges_semantic": f"WITH {_EDGES} SELECT from_id, to_id, round(weight, 6) AS weight FROM se",
     "edges_pruned": f"WITH {_EDGES}, en AS (SELECT from_id AS x, * FROM se UNION ALL SELECT to_id, * FROM se), rk AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY weight DESC, from_id, to_id) AS r FROM en) SELECT from_id, to_id FROM rk WHERE r <= 4 GROUP BY ALL HAVING count(*) = 2",
