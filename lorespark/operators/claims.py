@@ -25,6 +25,12 @@ def stated(entries: DataFrame) -> DataFrame:
     return claims(used.where(F.size("subjects") > 0)).where("decisive").select("id", F.explode("subjects").alias("subject"), "net")
 
 
+def firm(entries: DataFrame) -> DataFrame:
+    """id, tag, net of the entries of any status that state a claim: one row per tag, scopes too."""
+    texts = entries.where(F.size("tags") > 0).select("id", F.array_distinct(F.filter("tags", lambda t: t.isNotNull())).alias("tags"), F.concat_ws(" ", "title", "body").alias("text"))
+    return claims(texts).where("decisive").select("id", F.explode("tags").alias("tag"), "net")
+
+
 def contradictions(entries: DataFrame) -> DataFrame:
     """subject, id_a, id_b, net_a, net_b (id_a < id_b): entries in use that share a subject and state opposite claims.
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from lorespark.operators.orphans import trimmed
 KIND_ORDER = ["link", "supersedes", "tag", "semantic", "contradicts", "corroborates", "member"]
 SYMMETRIC = ["tag", "semantic", "contradicts", "corroborates"]
 LOAD_BEARING = ["link", "supersedes", "contradicts", "member"]
+#: Entries of one claim that are compared at a time: with 8192 dimensions 16 MB.
+BLOCK_CLAIMS = 256
 
 
 def kind_rank(kind: Column) -> Column:
@@ -86,18 +90,47 @@ def claim_edges(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy(F.col("id_a").alias("from_id"), F.col("id_b").alias("to_id")).agg(F.min("subject").alias("_s")).select("from_id", "to_id", F.lit("contradicts").alias("kind"), F.lit(0.8).alias("weight"), F.concat(F.lit("opposite claims on "), "_s").alias("evidence"))
 
 
-def corroborations(neighbours: DataFrame, firm: DataFrame, least: float = 0.15) -> DataFrame:
-    """corroborates edges: neighbours above ``least`` that share a subject and state the same claim.
+def corroborations(firm: DataFrame, packed: DataFrame, least: float = 0.15, dimensions: int = 8192) -> DataFrame:
+    """corroborates edges: entries that share a tag, state the same claim and have a cosine of ``least`` or more.
 
-    ``firm`` as from claims.stated. The pairs come from the neighbours, so no subject's members are paired up.
+    ``firm`` as from claims.firm, ``packed`` vectors. Every pair of a tag and direction is compared. A group is cut into
+    blocks of about ``BLOCK_CLAIMS`` entries, two of which meet in one task, and only pairs above ``least`` leave it.
     """
-    near = neighbours.where(F.col("similarity") >= least).groupBy(F.least("query_id", "id").alias("from_id"), F.greatest("query_id", "id").alias("to_id")).agg(F.max("similarity").alias("weight"))
-    a = firm.select(F.col("id").alias("from_id"), "subject", "net")
-    b = firm.select(F.col("id").alias("to_id"), "subject", "net")
-    agreed = near.join(a, "from_id").join(b, ["to_id", "subject", "net"]).groupBy("from_id", "to_id").agg(F.max("weight").alias("weight"), F.min("subject").alias("_s"))
+    blocks = firm.groupBy("tag", "net").agg(F.count("*").alias("_c")).where("_c > 1").select("tag", "net", F.ceil(F.col("_c") / BLOCK_CLAIMS).alias("_n"))
+    placed = firm.join(blocks, ["tag", "net"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")))
+    met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    keyed = met.select("id", "tag", "net", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")).join(packed, "id")
+    kind = packed.schema["id"].dataType.simpleString()
+    pairs = keyed.groupBy("tag", "net", "_i", "_j").applyInArrow(_agreeing(least, dimensions), f"from_id {kind}, to_id {kind}, weight double, tag string")
+    agreed = pairs.groupBy("from_id", "to_id").agg(F.max("weight").alias("weight"), F.min("tag").alias("_s"))
     return agreed.select("from_id", "to_id", F.lit("corroborates").alias("kind"), "weight", F.concat(F.lit("same claim on "), "_s").alias("evidence"))
 
 
+def _agreeing(least: float, dimensions: int):
+    def agreeing(group: pa.Table) -> pa.Table:
+        rows = group.select(["id", "_own", "dims", "weights"]).to_pylist()
+        first, second = group["_i"][0].as_py(), group["_j"][0].as_py()
+        left = [r for r in rows if r["_own"] == first]
+        right = left if first == second else [r for r in rows if r["_own"] == second]
+        found = []
+        for at in range(0, len(left), BLOCK_CLAIMS):  # hashes spread unevenly
+            part = left[at : at + BLOCK_CLAIMS]
+            dense = np.zeros((dimensions, len(part)), np.float64)
+            for k, r in enumerate(part):
+                dense[r["dims"], k] = r["weights"]
+            for r in right:
+                scores = np.asarray(r["weights"]) @ dense[r["dims"]]
+                for k in np.flatnonzero(scores >= least):
+                    a, b = part[k]["id"], r["id"]
+                    if a != b and (first != second or a < b):
+                        found.append((min(a, b), max(a, b), float(scores[k])))
+        ids = group.schema.field("id").type
+        a, b, w = zip(*found) if found else ((), (), ())
+        return pa.table({"from_id": pa.array(a, ids), "to_id": pa.array(b, ids), "weight": pa.array(w, pa.float64()), "tag": pa.array([group["tag"][0].as_py()] * len(found), pa.string())})
+
+    return agreeing
+
+
 def all_edges(*parts: DataFrame) -> DataFrame:
     """The parts as one table, each (kind, from_id, to_id) once with its greatest weight; kinds without a direction go
     from the smaller id to the greater."""

@@ -83,12 +83,12 @@ class Vault:
         c = self.config
         _, packed, _ = self.space()
         near = cut_lineage(vectors.nearest(packed if queries is None else packed.join(self.entries.where(queries).select("id"), "id", "left_semi"), packed, c.semantic_top_k, c.semantic_min_similarity, c.dimensions))
-        firm = claims.stated(self.entries)
+        firm = cut_lineage(claims.firm(self.entries))
         sets = cut_lineage(edges.tag_sets(self.entries))
         tagged = edges.tag_set_edges(sets, c.tag_min_jaccard)
         tag = tagged.select(F.col("first_a").alias("from_id"), F.col("first_b").alias("to_id"), F.lit("tag").alias("kind"), "weight", F.concat(F.lit("shares "), "shared").alias("evidence"))
         between = edges.pruned(cut_lineage(edges.all_edges(tag)), c.max_edges_per_node).unionByName(edges.member_edges(edges.tag_members(self.entries, sets)))
-        parts = [edges.declared_edges(self.entries), edges.semantic_edges(near), edges.claim_edges(claims.contradictions(self.entries)), edges.corroborations(near, firm, c.corroborate_min_similarity)]
+        parts = [edges.declared_edges(self.entries), edges.semantic_edges(near), edges.claim_edges(claims.contradictions(self.entries)), edges.corroborations(firm, packed, c.corroborate_min_similarity, c.dimensions)]
         return edges.pruned(cut_lineage(edges.all_edges(*parts)), c.max_edges_per_node).unionByName(between)
 
     @staticmethod

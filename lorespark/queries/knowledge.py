@@ -11,10 +11,11 @@ from lorespark.operators import curate as U
 from lorespark.operators import edges as G
 from lorespark.operators import topics as P
 from lorespark.operators import traverse as T
+from lorespark.operators import vectors as V
 from lorespark.operators.copies import earliest_copy
 from lorespark.queries.base import E, captures, entries
 from lorespark.queries.base import C as CAPTURES
-from lorespark.queries.retrieval import _NEAR, neighbours
+from lorespark.queries.retrieval import _NEAR, DIMENSIONS, _space, neighbours
 from lorespark.session import cut_lineage, table
 
 
@@ -79,7 +80,8 @@ def edges_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_corroborating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.corroborations(neighbours(spark, sf_dir, 50, 0.02), C.stated(_e(spark, sf_dir)), 0.02).select("from_id", "to_id", F.round("weight", 6).alias("weight"), "evidence")
+    firm = cut_lineage(C.firm(_e(spark, sf_dir)))
+    return G.corroborations(firm, cut_lineage(V.packed(_space(spark, sf_dir)[2])), 0.02, DIMENSIONS).select("from_id", "to_id", F.round("weight", 6).alias("weight"), "evidence")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
