@@ -167,6 +167,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.sum("degree").alias("degree"), F.sum("weighted_degree").alias("weighted_degree"))
 
 
+def kind_counts(edges: DataFrame) -> DataFrame:
+    """kind, n: the edges of each kind; tag edges are counted as pairs of entries, from the sizes of the sets."""
+    tag = edges.where(F.col("kind").isin("tag", "member"))
+    plain = edges.where(~F.col("kind").isin("tag", "member")).groupBy("kind").agg(F.count("*").alias("n"))
+    pairs = degrees(tag).agg(F.expr("sum(degree) div 2").alias("n")).where("n > 0").select(F.lit("tag").alias("kind"), "n")
+    return plain.unionByName(pairs)
+
+
 def nodes(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """The entries with their degree, isolated ones with 0."""
     return entries.join(degrees(edges), "id", "left").fillna(0, ["degree"]).fillna(0.0, ["weighted_degree"])

@@ -15,6 +15,18 @@ from lorespark.session import cut_lineage
 MAX_DEPTH = 40
 
 
+def full_graph(entries: DataFrame, near: DataFrame, packed: DataFrame, config: GraphConfig) -> DataFrame:
+    """Edges of all six kinds within the budget, and memberships in tag sets. ``near``: nearest rows of the entries that
+    look for semantic neighbours; ``packed``: the vectors of all."""
+    sets = cut_lineage(edges.tag_sets(entries))
+    tagged = edges.tag_set_edges(sets, config.tag_min_jaccard)
+    tag = tagged.select(F.col("first_a").alias("from_id"), F.col("first_b").alias("to_id"), F.lit("tag").alias("kind"), "weight", F.concat(F.lit("shares "), "shared").alias("evidence"))
+    between = edges.pruned(cut_lineage(edges.all_edges(tag)), config.max_edges_per_node).unionByName(edges.member_edges(edges.tag_members(entries, sets)))
+    agreed = edges.corroborations(cut_lineage(claims.firm(entries)), packed, config.corroborate_min_similarity, config.dimensions)
+    parts = [edges.declared_edges(entries), edges.semantic_edges(near), edges.claim_edges(claims.contradictions(entries)), agreed]
+    return edges.pruned(cut_lineage(edges.all_edges(*parts)), config.max_edges_per_node).unionByName(between)
+
+
 class Vault:
     """The entries of a vault (columns as in schema.ENTRY) as of ``now``.
 
@@ -82,14 +94,8 @@ class Vault:
         each block of queries is one scan of all vectors, so on a large vault name a part)."""
         c = self.config
         _, packed, _ = self.space()
-        near = cut_lineage(vectors.nearest(packed if queries is None else packed.join(self.entries.where(queries).select("id"), "id", "left_semi"), packed, c.semantic_top_k, c.semantic_min_similarity, c.dimensions))
-        firm = cut_lineage(claims.firm(self.entries))
-        sets = cut_lineage(edges.tag_sets(self.entries))
-        tagged = edges.tag_set_edges(sets, c.tag_min_jaccard)
-        tag = tagged.select(F.col("first_a").alias("from_id"), F.col("first_b").alias("to_id"), F.lit("tag").alias("kind"), "weight", F.concat(F.lit("shares "), "shared").alias("evidence"))
-        between = edges.pruned(cut_lineage(edges.all_edges(tag)), c.max_edges_per_node).unionByName(edges.member_edges(edges.tag_members(self.entries, sets)))
-        parts = [edges.declared_edges(self.entries), edges.semantic_edges(near), edges.claim_edges(claims.contradictions(self.entries)), edges.corroborations(firm, packed, c.corroborate_min_similarity, c.dimensions)]
-        return edges.pruned(cut_lineage(edges.all_edges(*parts)), c.max_edges_per_node).unionByName(between)
+        near = vectors.nearest(packed if queries is None else packed.join(self.entries.where(queries).select("id"), "id", "left_semi"), packed, c.semantic_top_k, c.semantic_min_similarity, c.dimensions)
+        return full_graph(self.entries, near, packed, c)
 
     @staticmethod
     def neighbours(graph: DataFrame, id_: str, depth: int = 2, least: float = 0.0, kinds: list[str] | None = None) -> DataFrame:

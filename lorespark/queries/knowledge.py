@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.config import GraphConfig
 from lorespark.functions.text import INFLECTIONS, NEGATIVE_MARKERS, POSITIVE_MARKERS, TITLE_STOP_WORDS
 from lorespark.operators import claims as C
 from lorespark.operators import curate as U
@@ -13,9 +14,10 @@ from lorespark.operators import topics as P
 from lorespark.operators import traverse as T
 from lorespark.operators import vectors as V
 from lorespark.operators.copies import earliest_copy
+from lorespark.plans.vault import full_graph
 from lorespark.queries.base import E, captures, entries
 from lorespark.queries.base import C as CAPTURES
-from lorespark.queries.retrieval import _NEAR, DIMENSIONS, _space, neighbours
+from lorespark.queries.retrieval import _NEAR, DIMENSIONS, _space, asked, neighbours
 from lorespark.session import cut_lineage, table
 
 
@@ -85,10 +87,11 @@ def edges_corroborating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared, conflict and semantic edges in one graph, within a budget of inferred edges."""
-    e = _e(spark, sf_dir)
-    parts = [G.declared_edges(e), G.claim_edges(C.contradictions(e)), G.semantic_edges(neighbours(spark, sf_dir))]
-    return G.pruned(cut_lineage(G.all_edges(*parts)), 24)
+    """Edges of all six kinds in one graph, within the budget of inferred edges; semantic ones from the query set."""
+    packed = cut_lineage(V.packed(_space(spark, sf_dir)[2]))
+    config = GraphConfig(dimensions=DIMENSIONS)
+    near = V.nearest(asked(packed), packed, config.semantic_top_k, config.semantic_min_similarity, DIMENSIONS)
+    return cut_lineage(full_graph(_e(spark, sf_dir), near, packed, config))
 
 
 def edges_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +99,41 @@ def edges_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_edges(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+    return G.kind_counts(graph_edges(spark, sf_dir))
+
+
+def full_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.nodes(_e(spark, sf_dir).select("id"), graph_edges(spark, sf_dir)).select("id", "degree", F.round("weighted_degree", 6).alias("weighted_degree"))
+
+
+def full_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = G.degrees(graph_edges(spark, sf_dir)).withColumn("weighted_degree", F.round("weighted_degree", 6))
+    return d.orderBy(F.desc("degree"), F.desc("weighted_degree"), "id").limit(10)
+
+
+def full_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.graph_summary(_e(spark, sf_dir).select("id"), graph_edges(spark, sf_dir))
+
+
+def full_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.dot_lines(graph_edges(spark, sf_dir))
+
+
+def full_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops in the graph of six kinds around the entry with most declared edges."""
+    return T.neighbourhood(graph_edges(spark, sf_dir), _origin(declared(spark, sf_dir)), 2).select("id", F.round("score", 6).alias("score"), "depth")
+
+
+def full_widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.widest_paths(graph_edges(spark, sf_dir), _origin(declared(spark, sf_dir))).select("id", "bottleneck")
+
+
+def full_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.components(_e(spark, sf_dir), graph_edges(spark, sf_dir))
+
+
+def full_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_components"))
 
 
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +159,7 @@ def _origin(edges: DataFrame) -> str:
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hops around the entry with most declared edges; the weight of an edge falls with its number of kinds."""
+    """Two hops over declared edges, all of weight 1, around the entry that has most of them."""
     edges = declared(spark, sf_dir)
     return T.neighbourhood(edges, _origin(edges), 2).select("id", F.round("score", 6).alias("score"), "depth")
 
@@ -211,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         entry_claims, capture_claims, contradictions, disputed_subjects, patterns, monthly_reflection, edges_declared, tag_sets, tag_members, edges_tag, edges_semantic, edges_corroborating, edges_pruned, edge_counts, node_degrees, hubs,
-        graph_summary, graph_dot, neighbourhood, widest_paths, components, component_sizes, entry_topics, topics, title_token_df, topic_keywords, topic_satellites, tag_vocabulary, canonical_tags, extracted_captures,
+        full_degrees, full_hubs, full_summary, full_dot, full_neighbourhood, full_widest_paths, full_components, full_component_sizes, graph_summary, graph_dot, neighbourhood, widest_paths, components, component_sizes, entry_topics, topics, title_token_df, topic_keywords, topic_satellites, tag_vocabulary, canonical_tags, extracted_captures,
         capture_deliveries, queue_states, related_entries, session_states, session_turns,
     )
 }
