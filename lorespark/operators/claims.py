@@ -54,7 +54,8 @@ def disputed_subjects(entries: DataFrame) -> DataFrame:
 def patterns(entries: DataFrame, least_members: int = 3, examples: int = 5) -> DataFrame:
     """subject, n_members, first_titles: subjects that entries in use share, with the first titles in order.
 
-    A subject may have any number of members; only ``examples`` titles of each are kept, by a ranked window.
+    A subject may have any number of members; only ``examples`` titles of each are kept, by a ranked window. All of them
+    are rows of :func:`pattern_members`.
     """
     used = entries.where(~F.col("status").isin(RETIRED)).select("id", "title", F.explode(subject_tags(F.col("tags"))).alias("subject"))
     sized = used.groupBy("subject").agg(F.count("*").alias("n_members")).where(F.col("n_members") >= least_members)
@@ -63,6 +64,13 @@ def patterns(entries: DataFrame, least_members: int = 3, examples: int = 5) -> D
     return sized.join(shown, "subject")
 
 
+def pattern_members(entries: DataFrame, least_members: int = 3) -> DataFrame:
+    """subject, id, title, rank: every member of each pattern (see :func:`patterns`), in the order of titles and ids."""
+    used = entries.where(~F.col("status").isin(RETIRED)).select("id", "title", F.explode(subject_tags(F.col("tags"))).alias("subject"))
+    shared = used.groupBy("subject").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_members).select("subject")
+    return used.join(shared, "subject").select("subject", "id", "title", F.row_number().over(Window.partitionBy("subject").orderBy("title", "id")).alias("rank"))
+
+
 def reflection(entries: DataFrame, period: Column) -> DataFrame:
     """period, n_entries, n_disputed, n_patterns: what a periodic reflection would report on."""
     dated = entries.withColumn("_period", period)

@@ -118,5 +118,8 @@ class Vault:
     def patterns(self, least_members: int = 3) -> DataFrame:
         return claims.patterns(self.entries, least_members)
 
+    def pattern_members(self, least_members: int = 3) -> DataFrame:
+        return claims.pattern_members(self.entries, least_members)
+
     def vocabulary(self) -> DataFrame:
         return curate.tag_vocabulary(self.entries)

@@ -48,6 +48,11 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.patterns(_e(spark, sf_dir)).select("subject", "n_members", F.array_join("first_titles", " | ").alias("first_titles"))
 
 
+def pattern_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of each pattern, of which patterns shows the first titles."""
+    return C.pattern_members(_e(spark, sf_dir))
+
+
 def monthly_reflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.reflection(_e(spark, sf_dir), F.date_format("updated", "yyyy-MM"))
 
@@ -247,7 +252,7 @@ def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        entry_claims, capture_claims, contradictions, disputed_subjects, patterns, monthly_reflection, edges_declared, tag_sets, tag_members, edges_tag, edges_semantic, edges_corroborating, edges_pruned, edge_counts, node_degrees, hubs,
+        entry_claims, capture_claims, contradictions, disputed_subjects, patterns, pattern_members, monthly_reflection, edges_declared, tag_sets, tag_members, edges_tag, edges_semantic, edges_corroborating, edges_pruned, edge_counts, node_degrees, hubs,
         full_degrees, full_hubs, full_summary, full_dot, full_neighbourhood, full_widest_paths, full_components, full_component_sizes, graph_summary, graph_dot, neighbourhood, widest_paths, components, component_sizes, entry_topics, topics, title_token_df, topic_keywords, topic_satellites, tag_vocabulary, canonical_tags, extracted_captures,
         capture_deliveries, queue_states, related_entries, session_states, session_turns,
     )
@@ -298,6 +303,7 @@ SQL = {
     "contradictions": f"WITH {_STATED} SELECT p.subject, least(p.id, n.id) AS id_a, greatest(p.id, n.id) AS id_b, CASE WHEN p.id < n.id THEN 1 ELSE -1 END AS net_a, CASE WHEN p.id < n.id THEN -1 ELSE 1 END AS net_b FROM st p JOIN st n ON p.subject = n.subject AND p.net > 0 AND n.net < 0",
     "disputed_subjects": f"WITH {_STATED} SELECT subject, count(*) FILTER (net > 0) AS n_positive, count(*) FILTER (net < 0) AS n_negative, min(id) FILTER (net > 0) AS positive_id, min(id) FILTER (net < 0) AS negative_id FROM st GROUP BY subject HAVING n_positive > 0 AND n_negative > 0",
     "patterns": f"WITH {E}, u AS (SELECT id, title, unnest({_SUBJ}) AS subject FROM e WHERE status NOT IN ('superseded', 'archived')), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY title, id) AS r, count(*) OVER (PARTITION BY subject) AS n_members FROM u) SELECT subject, any_value(n_members) AS n_members, string_agg(title, ' | ' ORDER BY r) FILTER (r <= 5) AS first_titles FROM r WHERE n_members >= 3 GROUP BY subject",
+    "pattern_members": f"WITH {E}, u AS (SELECT id, title, unnest({_SUBJ}) AS subject FROM e WHERE status NOT IN ('superseded', 'archived')) SELECT subject, id, title, row_number() OVER (PARTITION BY subject ORDER BY title, id) AS rank FROM u QUALIFY count(*) OVER (PARTITION BY subject) >= 3",
     "edges_declared": f"WITH {_DECL} SELECT from_id, to_id, kind FROM decl",
     "tag_sets": f"WITH {_SETS} SELECT first_id, n_entries, array_to_string(subjects, ', ') AS subjects FROM ts",
     "tag_members": f"WITH {_SETS} SELECT m.id, first_id, array_to_string(subjects, ', ') AS subjects FROM (SELECT id, {_SUBJ} AS subjects FROM e) m JOIN ts USING (subjects)",
