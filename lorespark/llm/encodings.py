@@ -38,6 +38,9 @@ USES = 3
 _WORD = r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*"
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _UTF8_CJK = re.compile(rb"(?:[\xe4-\xe9][\x80-\xbf]{2}|\xef\xbc[\x80-\xbf]|\xe3\x80[\x80-\xbf]){3,}")
+_UTF8_CJK_ALL = re.compile(rb"(?:[\x00-\x7f]|[\xe4-\xe9][\x80-\xbf]{2}|\xef\xbc[\x80-\xbf]|\xe3\x80[\x80-\xbf])*")
+#: What a piece of UTF-8 may begin and end with of a sequence broken off.
+_TAIL, _HEAD = re.compile(rb"[\x80-\xbf]{0,2}"), re.compile(rb"[\xe3-\xe9\xef][\x80-\xbf]?\Z")
 #: Characters that only a wide encoding holds, and those beyond ASCII that a single-byte one may hold.
 _WIDE_CHAR, _NARROW_CHAR = re.compile("[\u2e80-\U0010ffff]"), re.compile("[\x80-\u2e7f]")
 _C1 = re.compile("[\x80-\x9f]")
@@ -99,18 +102,7 @@ def _repaired(word: str, pair: tuple[str, str], known, depth: int) -> str | None
     read, written = pair
     changed = False
     if read == "gbk":
-        try:
-            raw = word.encode("gbk")
-        except UnicodeError:
-            return None
-        out, done = bytearray(), 0
-        for m in _UTF8_CJK.finditer(raw):
-            text = m.group().decode("utf-8")
-            if all(known(c) for c in text):
-                changed = True
-                out += raw[done : m.start()].decode("gbk", "replace").encode() + m.group()
-                done = m.end()
-        return (out + raw[done:].decode("gbk", "replace").encode()).decode() if changed else None
+        return _repaired_gbk(word, known)
 
     def turn(m: re.Match) -> str:
         nonlocal changed
@@ -146,6 +138,53 @@ def _repaired(word: str, pair: tuple[str, str], known, depth: int) -> str | None
     return out if changed else None
 
 
+@lru_cache(None)
+def _gbk_runs() -> re.Pattern:
+    """Runs of characters that GBK can encode."""
+    high = [c for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).encode("gbk", "ignore")]
+    return re.compile("[\x00-\x7f" + re.escape("".join(high)) + "]+")
+
+
+def _repaired_gbk(word: str, known) -> str | None:
+    """UTF-8 read as GBK turned back, in the pieces of ``word`` between characters that GBK lacks.
+
+    Once a piece shows three characters of UTF-8 in a row, single ones count in pieces of nothing else but ASCII. What is left of a
+    sequence that a piece breaks off is one lost character, with the replacement character beside it if there is one.
+    """
+    runs = _gbk_runs()
+    pieces = [(m.start(), m.end(), m.group().encode("gbk")) for m in runs.finditer(word)]
+    valid = lambda raw: all(c.isascii() or known(c) for c in raw.decode("utf-8"))
+    if not any(valid(m.group()) for *_, raw in pieces for m in _UTF8_CJK.finditer(raw)):
+        return None
+    out, at = [], 0
+    for start, end, raw in pieces:
+        out.append(word[at:start])
+        at = end
+        before, after = word[start - 1 : start], word[end : end + 1]
+        first = len(_TAIL.match(raw).group()) if before else 0
+        last = len(raw) - (len(m.group()) if after and (m := _HEAD.search(raw, first)) else 0)
+        inner = raw[first:last]
+        lost = (not first or before == "\ufffd") and (last == len(raw) or after == "\ufffd")  # nothing but what was broken off
+        if (m := _UTF8_CJK_ALL.fullmatch(inner)) and valid(inner) and (lost or not inner.isascii()):
+            found = [m]
+        else:
+            found = [m for m in _UTF8_CJK.finditer(inner) if valid(m.group())]
+        if not found:
+            out.append(word[start:end])
+            continue
+        done = first if found[0].start() == 0 else 0
+        if done and before != "\ufffd":
+            out.append("\ufffd")
+        for m in found:
+            out += [raw[done : first + m.start()].decode("gbk", "replace"), m.group().decode("utf-8")]
+            done = first + m.end()
+        if done == last < len(raw):
+            out.append("\ufffd" if after != "\ufffd" else "")
+        else:
+            out.append(raw[done:].decode("gbk", "replace"))
+    return "".join(out) + word[at:]
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
 
