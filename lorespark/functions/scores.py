@@ -13,9 +13,11 @@ def effective_confidence(now: Column, confidence: str = "confidence", decay_rate
 
     Always relative to ``now``, never to the clock. Null confidence, rate or time give null unless expired.
     """
-    seconds = F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(F.col(last_verified))) / 1_000_000))
+    passed = F.floor((F.unix_micros(now) - F.unix_micros(F.col(last_verified))) / 1_000_000)
+    seconds = F.when(passed > 0, passed).when(passed.isNotNull(), F.lit(0))
     decayed = F.col(confidence) * F.exp(-F.col(decay_rate) * seconds / F.lit(SECONDS_PER_YEAR))
-    return F.when(F.col(expires) <= now, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), decayed)))
+    within = F.when(decayed.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), decayed)))  # greatest and least skip nulls
+    return F.when(F.col(expires) <= now, F.lit(0.0)).otherwise(within)
 
 
 def gaussian(x: Column, at: Column, bandwidth: Column) -> Column:
