@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.conversations import conversation_rows, conversations, kept_turns, link_trees, reply_links
+from lorespark.llm.conversations import conversation_rows, conversations, kept_turns, link_agreement, link_trees, reply_links
 from lorespark.llm.staging import staged
 from lorespark.session import table
 
@@ -25,6 +25,11 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "messages"), _turns(spark, sf_dir))
 
 
+def p5_link_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links found with the recorded turns hidden, measured against them."""
+    return link_agreement(staged(conversation_rows(table(spark, sf_dir, "messages"))))
+
+
 _FOUND = r"""
 WITH once AS (SELECT * FROM messages WHERE message_id IS NOT NULL AND session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY loaded_at) = 1),
 r AS (SELECT *, CASE lower(trim(speaker)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'ai' THEN 'assistant' ELSE 'other' END AS role,
@@ -38,7 +43,7 @@ bad AS (SELECT session_id FROM t WHERE pp IS NULL OR rp IS NULL OR rp < pp
   UNION SELECT session_id FROM o WHERE has_seq GROUP BY session_id, seq HAVING count(*) > 1)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns}
+QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns, "p5_link_quality": p5_link_quality}
 SQL = {
     "p5_found": f"""{_FOUND} SELECT t.session_id, t.turn_id, a.message_id AS prompt_message_id, b.message_id AS response_message_id
 FROM t JOIN o a ON a.session_id = t.session_id AND a.place = t.pp JOIN o b ON b.session_id = t.session_id AND b.place = t.rp WHERE t.session_id NOT IN (SELECT session_id FROM bad)""",
