@@ -179,6 +179,62 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert exact >= len(wanted) - 1, [rows[len(base) + i]["text"] for i in range(len(wanted))]
 
 
+SENTENCES = [
+    "Служба {} потеряла {} записей после обновления",
+    "Проверьте файл {} прежде чем удалит {} строк",
+    "Отчёт {} показал {} пустых ответов",
+    "评审 拒绝了 草稿 {} ， 缺少 证据 {} 。",
+    "La révision {} empêche déjà l’équipe, été {}",
+    "Für die Prüfung {} können wir täglich {} Größen ändern",
+    "src\n├── {}\n└── {}",
+]
+
+
+def planted(pairs, times=4, clean=60, seed=11):
+    """Clean sentences with names and numbers of their own, and some garbled by each pair: (texts, which are garbled)."""
+    rng = random.Random(seed)
+    fill = lambda t: t.format(f"w{rng.randint(0, 999)}-name", rng.randint(1, 9999))
+    texts = [(fill(t), None) for t in SENTENCES for _ in range(clean)]
+    for read, written in pairs:
+        able = []
+        for t in SENTENCES:
+            try:
+                t.encode(written)
+            except UnicodeError:
+                continue
+            if not (t[0] > "\u2e80" and written == "cp1251"):
+                able.append(t)
+        for t in able:
+            for _ in range(times):
+                original = fill(t)
+                if written in ("cp1251", "koi8-r") and not "\u0400" <= t[0] <= "\u04ff" or written == "gbk" and not (t[0] > "\u2e80" or "├" in t):
+                    continue
+                texts.append((garble(original, read, written), original))
+    return texts
+
+
+@pytest.mark.parametrize("pairs", [[("cp1252", "utf-8"), ("cp1251", "koi8-r")], [("cp437", "utf-8"), ("cp1252", "gbk")], [("cp1250", "utf-8"), ("cp866", "utf-8"), ("cp1252", "cp1251")]])
+def test_mappings_are_learned_by_alignment(spark, pairs):
+    texts = planted(pairs)
+    docs = documents(spark, [t for t, _ in texts])
+    found = {(r, w) for r, w, _ in E.mappings(E.twins(E.lexicon(docs)))}
+    assert found == set(pairs), found
+    rows = {r["doc_id"]: r["text"] for r in E.garbled_documents(docs, restore=True).collect()}
+    assert set(rows) == {i for i, (t, o) in enumerate(texts) if o is not None and t != o}
+    assert {(rows[i], o) for i, (t, o) in enumerate(texts) if i in rows and rows[i] != o and "�" not in t} == set()
+
+
+def test_no_mapping_without_twins(spark):
+    texts = planted([("cp1252", "utf-8")], times=3, clean=0)
+    assert E.mappings(E.twins(E.lexicon(documents(spark, [t for t, _ in texts])))) == []
+
+
+def test_alignment_of_one_word():
+    assert ("utf-8", "cp1252") in {(w, r) for w, names in E.explained("fÃ¼r", "für") for r in names.split("|")}
+    assert {w for w, _ in E.explained("père", "pére")} == set() and not list(E.explained("für", "für-"))
+    assert list(E.explained("f�r", "für")) == [("cp1252", "utf-8")]
+
+
 def test_meant_signs_are_not_garbled(spark):
     meant = ["ATENÇÃO: NÃO apagar", "√ x ≤ 236 µs, Âge™ 24 €", "src\n├── a\n└── b", "GRÖSSE ÄNDERN ÜBER", "“Gemäß” É”, «é »", "plain ASCII", "", None]
     assert E.garbled_documents(documents(spark, [t for t in CLEAN for _ in range(4)] + meant)).isEmpty()
@@ -195,6 +251,7 @@ def test_lost_characters_are_found_and_looked_up(spark):
 
 def test_encoding_edge_cases(spark):
     assert E.garbled_documents(documents(spark, [])).isEmpty()
-    long = "word " * 100_000 + garble("Prüfung täglich", "cp1252")
-    rows = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "Prüfung täglich"), (3, "Prüfung täglich"), (4, "Prüfung täglich"), (5, "Prüfung täglich")], "doc_id bigint, text string")
+    clean = "Prüfung täglich für Größe"
+    long = "word " * 100_000 + garble(clean, "cp1252")
+    rows = spark.createDataFrame([(1, long), (1, long), (None, long), *((i, clean) for i in range(2, 9))], "doc_id bigint, text string")
     assert sorted([r[0] for r in E.garbled_documents(rows).collect()], key=str) == [1, 1, None]
