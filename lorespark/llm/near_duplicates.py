@@ -5,9 +5,11 @@
 2. A class gets ``bands * rows`` MinHash values; the values of a band are hashed to one key. Bands and rows follow from
    the threshold and the recall wanted at it (:func:`choose_bands`).
 3. Classes are shuffled on band keys; two classes that share a key are a candidate pair. A task sends each class once,
-   so a group of copies that holds a third of all rows does not make a key hot.
+   so a group of copies that holds a third of all rows does not make a key hot. A key that more than ``BLOCK_CLASSES``
+   different classes share (variants of one template) is cut into blocks, and pairs of blocks are spread over the tasks.
 4. Candidate pairs are verified on the full n-gram sets of one text of each class.
-5. Pairs of classes are expanded to pairs of ids, and ids of one class are pairs too.
+5. The result is the pairs of classes with the members of each (:func:`similar_classes`); :func:`near_duplicate_pairs`
+   expands them to pairs of ids, ids of one class being pairs too, in blocks.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.llm.pairs import blocks_of, member_pairs
 from lorespark.llm.staging import small, staged
 from lorespark.llm.words import flat_lists, mix, ngram_sets, windows, word_hashes
 
 #: N-gram hashes that one step of the MinHash loop handles, so that it stays in the processor's cache.
 STEP = 1 << 16
+#: Classes on one band key that a task pairs up.
+BLOCK_CLASSES = 2_000
 
 
 def choose_bands(threshold: float, recall: float = 0.99, rows: int = 4) -> int:
@@ -105,11 +110,16 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, n: int = 5, r
     texts are read. A pair at the threshold itself is found with probability ``recall``, a closer one with more; no
     pair below the threshold comes out.
     """
-    return expand(*similar_classes(texts, threshold, n, recall, rows, seed))
+    similar, members = similar_classes(texts, threshold, n, recall, rows, seed)
+    pairs = member_pairs(similar, members).select("a.source_table", F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"))
+    return pairs.where("id_1 <> id_2").select("source_table", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
 
 
-def similar_classes(texts: DataFrame, threshold: float, n: int, recall: float, rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of similar classes (class_a, class_b) and the members of all classes (class_key, source_table, id)."""
+def similar_classes(texts: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99, rows: int = 4, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Pairs of similar classes (class_a, class_b), each once, and the members of all classes (class_key, source_table, id).
+
+    ``texts`` as for :func:`near_duplicate_pairs`. Nothing here grows with the square of a class.
+    """
     bands = choose_bands(threshold, recall, rows)
     texts = texts.select("source_table", "id", "text").where("source_table is not null and id is not null and text is not null")
     signed = staged(
@@ -117,10 +127,10 @@ def similar_classes(texts: DataFrame, threshold: float, n: int, recall: float, r
             _signer(n, bands, rows, seed), "source_table string, id string, class_key bigint, bands array<bigint>"
         )
     )
-    members = signed.select("class_key", "source_table", "id").distinct()
-    keyed = signed.select("class_key", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "class_key"])
-    other = keyed.select("band", F.col("class_key").alias("class_b"))
-    candidates = staged(keyed.withColumnRenamed("class_key", "class_a").join(other, "band").where("class_a < class_b").select("class_a", "class_b").distinct())
+    members = staged(signed.select("class_key", "source_table", "id").distinct())
+    once = signed.select("class_key", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "class_key"])
+    shared = staged(once.withColumn("_n", F.count("*").over(Window.partitionBy("band"))).where("_n > 1"))
+    candidates = staged(_candidates(shared).distinct())
 
     concerned = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_key")).distinct()
     representatives = members.join(small(concerned), "class_key").groupBy("class_key").agg(F.min(F.struct("source_table", "id")).alias("_r")).select("class_key", "_r.*")
@@ -133,15 +143,17 @@ def similar_classes(texts: DataFrame, threshold: float, n: int, recall: float, r
     return similar.select("class_a", "class_b"), members
 
 
-def expand(similar: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ids: of similar classes, and within each class."""
-    a = members.select(F.col("class_key").alias("class_a"), "source_table", F.col("id").alias("id_1"))
-    b = members.select(F.col("class_key").alias("class_b"), F.col("id").alias("id_2"))
-    repeated = members.groupBy("class_key").count().where("count > 1").select(F.col("class_key").alias("class_a"), F.col("class_key").alias("class_b"))
-    every = staged(similar.unionByName(repeated))
-    pairs = every.join(a, "class_a").join(b, "class_b")
-    return (
-        pairs.where((F.col("class_a") != F.col("class_b")) & (F.col("id_1") != F.col("id_2")) | (F.col("id_1") < F.col("id_2")))
-        .select("source_table", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
-        .distinct()
-    )
+def _candidates(shared: DataFrame) -> DataFrame:
+    """class_a < class_b for classes that share a band; ``shared``: band, class_key, _n (classes of the band)."""
+    few, many = shared.where(F.col("_n") <= BLOCK_CLASSES), shared.where(F.col("_n") > BLOCK_CLASSES)
+    pairs = few.select("band", F.col("class_key").alias("class_a")).join(few.select("band", F.col("class_key").alias("class_b")), "band").where("class_a < class_b").select("class_a", "class_b")
+    if many.isEmpty():
+        return pairs
+    blocks = blocks_of(F.col("_n"), BLOCK_CLASSES)
+    own = F.pmod("class_key", blocks).cast("int")
+    met = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    sent = many.select("band", "class_key", own.alias("_own"), F.inline(met))
+    a = sent.where("_own = i").select("band", "i", "j", F.col("class_key").alias("class_1"))
+    b = sent.where("_own = j").select("band", "i", "j", F.col("class_key").alias("class_2"))
+    met_pairs = a.join(b, ["band", "i", "j"]).where("i < j or class_1 < class_2")
+    return pairs.unionByName(met_pairs.select(F.least("class_1", "class_2").alias("class_a"), F.greatest("class_1", "class_2").alias("class_b")))

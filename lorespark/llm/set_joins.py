@@ -2,15 +2,17 @@
 
 1. Records with the same set form one class. A set is an array of 64-bit value hashes in one global order: values that
    are not frequent first, then frequent ones by rising count. Frequent means at least ``1 / FREQUENT`` of all values,
-   so there are at most ``FREQUENT`` of them, and their table may be broadcast.
+   so there are at most ``FREQUENT`` of them, and their table may be broadcast. The order decides only how much is sent.
 2. A set sends itself to the partitions of its first values: as an index record for partners of its size or larger, as
    a probe for partners of its size or smaller. Two sets that overlap enough meet in the partition of a shared first
-   value (prefix filter). A frequent value's partition is split into blocks of index records; probes go to each block.
+   value (prefix filter). A value with more than ``BLOCK`` index records, however rare beside the others, has its partition
+   split into blocks of index records; probes go to each block.
 3. In a partition the index records form inverted lists. A probe asks which records occur in at least T of its lists:
    the longest lists are set aside, the others are merged with a heap that skips what cannot reach the rest of T, and
    the longest are binary-searched for the records that remain (:func:`occurrences`). Probes are streamed; only the index
    records of one block are in memory.
-4. Pairs of classes are expanded to pairs of ids.
+4. The result is the pairs of classes with the members of each (:func:`similar_set_classes`); :func:`similar_set_pairs`
+   expands them to pairs of ids, in blocks.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.staging import staged
+from lorespark.llm.pairs import blocks_of, member_pairs
+from lorespark.llm.staging import small, staged
 
 #: Bound on the number of frequent values.
 FREQUENT = 5_000
-#: Index records of a frequent value that one block holds on average.
-BLOCK = 4_000
+#: Index records of a value that one block holds on average.
+BLOCK = 20_000
 #: Weight of a heap step against a binary search when lists are set aside.
 SEARCH_WEIGHT = 0.5
 
@@ -87,18 +90,17 @@ def _sender(frequent: dict[int, int], threshold: float):
                 held = n - least_overlap(n, n, threshold) + 1
                 asked = n - math.ceil(threshold * n - 1e-9) + 1
                 for i, v in enumerate(values[: max(held, asked)]):
-                    blocks = -(-frequent.get(v, 0) // BLOCK) or 1
                     if i < held:
-                        out.append((v, key % blocks, False, n, key, sides, values))
+                        out.append((v, False, n, key, sides, values))
                     if i < asked:
-                        out.extend((v, b, True, n, key, sides, values) for b in range(blocks))
+                        out.append((v, True, n, key, sides, values))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _ROUTED.types)], schema=_ROUTED)
 
     return send
 
 
-_ROUTED = pa.schema([("value", pa.int64()), ("block", pa.int64()), ("probe", pa.bool_()), ("size", pa.int32()), ("class_key", pa.int64()), ("sides", pa.int32()), ("values", pa.list_(pa.int64()))])
+_ROUTED = pa.schema([("value", pa.int64()), ("probe", pa.bool_()), ("size", pa.int32()), ("class_key", pa.int64()), ("sides", pa.int32()), ("values", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64())])
 
 
@@ -144,6 +146,19 @@ def similar_set_pairs(sets: DataFrame, threshold: float = 0.6, least_values: int
     in no pair; repeated rows count once, several sets of one id each count; empty tables give empty results. Every
     pair comes out (values are compared by 64-bit hashes).
     """
+    similar, members = similar_set_classes(sets, threshold, least_values, other)
+    pairs = member_pairs(similar, members)
+    if other is not None:
+        of_a = F.when(F.col("a.side") == 1, F.col("a")).otherwise(F.col("b"))
+        of_b = F.when(F.col("a.side") == 1, F.col("b")).otherwise(F.col("a"))
+        return pairs.where("a.side <> b.side").select("a.field_name", of_a["id"].alias("id_a"), of_b["id"].alias("id_b")).distinct()
+    return pairs.where("a.id <> b.id").select("a.field_name", F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
+
+
+def similar_set_classes(sets: DataFrame, threshold: float = 0.6, least_values: int = 3, other: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of similar classes (class_a < class_b), each once, and the members of all classes (class_key, field_name, id,
+    side: 1, or 2 for ``other``). Arguments as for :func:`similar_set_pairs`. Nothing here grows with the square of a class.
+    """
     if threshold <= 0 or threshold > 1:
         raise ValueError("the threshold must be in (0, 1]")
     between = other is not None
@@ -152,31 +167,31 @@ def similar_set_pairs(sets: DataFrame, threshold: float = 0.6, least_values: int
         sides.append(other.select("field_name", "id", "values", F.lit(2).alias("side")))
     every = sides[0] if not between else sides[0].unionByName(sides[1])
     hashed = F.array_sort(F.array_distinct(F.transform(F.filter("values", lambda v: v.isNotNull()), lambda v: F.xxhash64("field_name", v))))
-    members = staged(
+    rows = staged(
         every.where("field_name is not null and id is not null and values is not null")
         .select("field_name", "id", "side", hashed.alias("values"))
         .where(F.size("values") >= least_values)
         .distinct()
         .select("field_name", "id", "side", F.xxhash64("field_name", "values").alias("class_key"), "values")
     )
-    classes = staged(members.groupBy("class_key", "values").agg(F.bit_or("side").alias("sides")))
+    members = rows.select("class_key", "field_name", "id", "side")
+    classes = staged(rows.groupBy("class_key", "values").agg(F.bit_or("side").alias("sides")))
     counts = staged(classes.select(F.explode("values").alias("value")).groupBy("value").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     frequent = {r["value"]: r["count"] for r in counts.where(F.col("count") >= max(2, total / FREQUENT)).collect()}  # at most FREQUENT rows
-    routed = classes.mapInArrow(_sender(frequent, threshold), "value bigint, block bigint, probe boolean, size int, class_key bigint, sides int, values array<bigint>")
+    routed = classes.mapInArrow(_sender(frequent, threshold), "value bigint, probe boolean, size int, class_key bigint, sides int, values array<bigint>")
+    if not counts.where(F.col("count") > BLOCK).isEmpty():  # only such values can have more index records
+        routed = staged(routed)
+        held = staged(routed.where("not probe").groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("value", blocks_of(F.col("n"), BLOCK).alias("_blocks")))
+        blocks = F.coalesce("_blocks", F.lit(1))
+        sent = F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod("class_key", blocks).cast("int")))
+        routed = routed.join(small(held), "value", "left").select("value", F.explode(sent.cast("array<bigint>")).alias("block"), "probe", "size", "class_key", "sides", "values")
+    else:
+        routed = routed.select("value", F.lit(0).cast("bigint").alias("block"), "probe", "size", "class_key", "sides", "values")
     similar = (
         routed.repartition("value", "block")
         .sortWithinPartitions("value", "block", "probe", "size", "class_key")
         .mapInArrow(_prober(threshold, between), "class_a bigint, class_b bigint")
         .distinct()
     )
-    repeated = members.groupBy("class_key").count().where("count > 1").select(F.col("class_key").alias("class_a"), F.col("class_key").alias("class_b"))
-    pairs = staged(similar.unionByName(repeated))
-    a = members.select(F.col("class_key").alias("class_a"), "field_name", F.col("id").alias("id_1"), F.col("side").alias("side_1"))
-    b = members.select(F.col("class_key").alias("class_b"), F.col("id").alias("id_2"), F.col("side").alias("side_2"))
-    joined = pairs.join(a, "class_a").join(b, "class_b")
-    if between:
-        one_way = joined.where("side_1 < side_2").select("field_name", F.col("id_1").alias("id_a"), F.col("id_2").alias("id_b"))
-        other_way = joined.where("side_1 > side_2").select("field_name", F.col("id_2").alias("id_a"), F.col("id_1").alias("id_b"))
-        return one_way.unionByName(other_way).distinct()
-    return joined.where("id_1 <> id_2").select("field_name", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
+    return similar, members

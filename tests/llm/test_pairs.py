@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lorespark.llm.near_duplicates import choose_bands, near_duplicate_pairs
+from lorespark.llm.near_duplicates import choose_bands, near_duplicate_pairs, similar_classes
 from lorespark.llm.set_joins import least_overlap, occurrences, similar_set_pairs
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
@@ -63,6 +63,24 @@ def test_no_rows_and_one_group_of_copies(spark):
     assert len(found(spark, rows)) == 66
 
 
+def test_hot_bands_and_classes_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr("lorespark.llm.near_duplicates.BLOCK_CLASSES", 3)
+    monkeypatch.setattr("lorespark.llm.pairs.BLOCK_MEMBERS", 2)
+    rng = random.Random(8)
+    template = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(30):  # variants of one template, some of them copies
+        words = list(template)
+        words[rng.randrange(120)] = f"v{i // 3 if i < 9 else i}"
+        rows.append(("t", f"{i:02}", " ".join(words)))
+    rows += [("t", f"c{i}", "all copies of one text that is short") for i in range(7)]
+    wanted = brute(rows, 0.8, 3)
+    got = found(spark, rows, threshold=0.8, n=3)
+    assert got <= wanted and len(got) >= 0.99 * len(wanted) and len(wanted) > 400
+    similar, members = similar_classes(texts(spark, rows), threshold=0.8, n=3)
+    assert similar.where("class_a >= class_b").isEmpty() and similar.count() == similar.distinct().count() and members.count() == len(rows)
+
+
 def test_bands_reach_the_recall_with_no_band_to_spare():
     for t, r in ((0.6, 4), (0.8, 5)):
         b = choose_bands(t, 0.99, r)
@@ -90,6 +108,7 @@ def brute_sets(a, b, threshold, least):
 @pytest.mark.parametrize("threshold", [0.34, 0.6, 1.0])
 def test_similar_sets_equal_brute_force(spark, monkeypatch, threshold):
     monkeypatch.setattr("lorespark.llm.set_joins.BLOCK", 3)  # popular values are split into many blocks
+    monkeypatch.setattr("lorespark.llm.pairs.BLOCK_MEMBERS", 2)
     rng = random.Random(4)
     rows = [(rng.choice("fg"), f"{i:03}", [rng.choice("abcdefghijklmnop" if i % 2 else "ab" * 8 + "cdef") for _ in range(rng.randint(0, 9))]) for i in range(150)]
     got = {tuple(r) for r in similar_set_pairs(sets(spark, rows), threshold, 2).collect()}
