@@ -1,24 +1,29 @@
 """References to records that do not exist (or were removed, or reached us later).
 
 Method. Ids become integers: the trailing digits of an id (lower-case hexadecimal) are its *number*, what stands before
-them and their width name its *series*. The known ids of a series are compressed to runs of contiguous numbers, cut at
-multiples of ``2**BLOCK_BITS`` so that a run never leaves its block. A reference is matched as of the preceding run
-start of its block: if its number lies beyond that run's end, or no run starts before it, the target is missing. The
-as-of match is one window over blocks of at most ``2**BLOCK_BITS`` distinct numbers, whatever the size of the table.
+them and their width name its *series*. Known ids, removed ids and the targets of references are range-partitioned and
+sorted by series and number, and numbered densely there, so that known ids with no unknown target between them have
+contiguous numbers: they are one *run*, whatever the gaps in their digits. A target is matched as of the preceding run
+start; if it lies beyond that run's end, or no run starts before it, it is missing. The known id at its place brings its
+load time, the removal its time, so one sorted pass settles all three reasons and no second join is needed.
 
+Ranges are cut by Spark at sampled keys, so no id pattern makes a partition hot; runs end at the borders of partitions.
 Each distinct target is matched once (references are pre-aggregated, so a target that holds a third of all references
 is one row here); only targets that can be at fault for some reference are joined back to the references.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Numbers of a series that one block spans at most, as a power of two: the size bound of a window group.
-BLOCK_BITS = 16
 #: Longest run of trailing hexadecimal digits read as a number; 15 digits fit a signed 64-bit integer.
 NUMBER_DIGITS = 15
 
@@ -30,34 +35,74 @@ def trimmed(value: Column) -> Column:
 
 
 def integer_key(id_: Column) -> dict[str, Column]:
-    """``series``, ``block`` and ``number`` of an id; together they are equal exactly for equal ids."""
+    """``series`` and ``number`` of an id; together they are equal exactly for equal ids."""
     digits = F.regexp_extract(id_, rf"([0-9a-f]{{1,{NUMBER_DIGITS}}})$", 1)
     number = F.coalesce(F.conv(F.when(F.length(digits) > 0, digits), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
     return {
         "series": F.concat(F.length(digits).cast("string"), F.lit(":"), F.regexp_replace(id_, rf"[0-9a-f]{{1,{NUMBER_DIGITS}}}$", "")),
-        "block": F.shiftright(number, BLOCK_BITS),
         "number": number,
     }
 
 
-def key_runs(ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """The ids as runs of contiguous numbers: series, block, run_start, run_end, n_ids. Null ids are dropped, repeated
-    ids count once, an empty table gives no runs."""
-    keys = ids.where(F.col(id_col).isNotNull()).select(*[c.alias(n) for n, c in integer_key(F.col(id_col)).items()]).distinct()
-    by_block = Window.partitionBy("series", "block").orderBy("number")
-    starts = F.when(F.col("number") - F.lag("number").over(by_block) == 1, 0).otherwise(1)
-    runs = keys.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(by_block.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("series", "block", "_run").agg(F.min("number").alias("run_start"), F.max("number").alias("run_end"), F.count("*").alias("n_ids")).drop("_run")
-
-
-def asof_known(targets: DataFrame, runs: DataFrame, target_col: str = "target_id") -> DataFrame:
-    """``targets`` (distinct) with ``known``: whether the run that starts at or before the target reaches it."""
-    keys = integer_key(F.col(target_col))
-    asked = targets.select(*[c.alias(n) for n, c in keys.items()], F.lit(1).alias("_asked"), F.lit(None).cast("bigint").alias("run_end"), F.struct(*targets.columns).alias("_row"))
-    held = runs.select("series", "block", F.col("run_start").alias("number"), F.lit(0).alias("_asked"), "run_end", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
-    preceding = Window.partitionBy("series", "block").orderBy("number", "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    matched = asked.unionByName(held).withColumn("_end", F.last("run_end", ignorenulls=True).over(preceding))
-    return matched.where("_asked = 1").select("_row.*", F.coalesce(F.col("number") <= F.col("_end"), F.lit(False)).alias("known"))
+_PARENT, _REMOVAL, _TARGET = 0, 1, 2
+
+
+def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by series, number and kind -> the targets with ``known``, ``at`` and ``removed_at``, and the run before."""
+    series, number, dense = None, None, 0
+    run_start, run_end, loaded, removed_key, removed = -1, -1, None, -1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = pc.dictionary_encode(batch.column("series"))
+        codes = np.asarray(names.indices)
+        numbers, kinds = np.asarray(batch.column("number")), np.asarray(batch.column("kind"))
+        other = np.append(series != names.dictionary[codes[0]].as_py(), codes[1:] != codes[:-1])
+        fresh = other | np.append(number != numbers[0], numbers[1:] != numbers[:-1])
+        keys = dense + np.cumsum(fresh.astype(np.int64) + other)  # a new series leaves a gap
+        rows = np.arange(len(keys))
+        parents = np.where(kinds == _PARENT, rows, -1)
+        before = np.maximum.accumulate(np.append(-1, parents[:-1]))
+        ends_before = np.where(before >= 0, keys[before], run_end)
+        starts = np.where((kinds == _PARENT) & (keys - ends_before > 1), keys, -1)
+        start = np.maximum(np.maximum.accumulate(starts), run_start)
+        last = np.maximum.accumulate(parents)
+        end = np.where(last >= 0, keys[last], run_end)
+        gone = np.maximum.accumulate(np.where(kinds == _REMOVAL, rows, -1))
+        gone_key = np.where(gone >= 0, keys[gone], removed_key)
+        at = batch.column("at").to_pylist()
+        asked = np.flatnonzero(kinds == _TARGET)
+        if len(asked):
+            known = (start[asked] >= 0) & (keys[asked] <= end[asked])
+            loads = [(at[last[i]] if last[i] >= 0 else loaded) if k else None for i, k in zip(asked, known)]
+            removals = [(at[gone[i]] if gone[i] >= 0 else removed) if gone_key[i] == keys[i] else None for i in asked]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("target").take(pa.array(asked)), pa.array(known), pa.array(loads, pa.int64()), pa.array(removals, pa.int64()), pa.array(np.where(start[asked] >= 0, end[asked] - start[asked] + 1, 0))],
+                names=["target", "known", "loaded", "removed", "run_ids"],
+            )
+        series, number, dense = names.dictionary[codes[-1]].as_py(), numbers[-1], int(keys[-1])
+        run_start, run_end = int(start[-1]), int(end[-1])
+        loaded = at[last[-1]] if last[-1] >= 0 else loaded
+        removed_key, removed = int(gone_key[-1]), at[gone[-1]] if gone[-1] >= 0 else removed
+
+
+def matched_targets(targets: DataFrame, parents: DataFrame, removals: DataFrame) -> DataFrame:
+    """``targets`` (distinct target_id and other columns) with ``known`` (a parent has the id), ``target_loaded_at``,
+    ``removed_at``, and ``run_ids``, the ids of the preceding run up to the target (0 where none starts before it).
+
+    ``parents``: target_id, at; ``removals``: target_id, at; each id once. Null ids match nothing.
+    """
+    nothing = F.lit(None).cast(T.StructType(targets.schema.fields))
+    parts = [
+        (parents, _PARENT, F.unix_micros("at"), nothing),
+        (removals, _REMOVAL, F.unix_micros("at"), nothing),
+        (targets, _TARGET, F.lit(None).cast("bigint"), F.struct(*targets.columns)),
+    ]
+    rows = reduce(DataFrame.unionByName, [df.where("target_id is not null").select(*[c.alias(n) for n, c in integer_key(F.col("target_id")).items()], F.lit(kind).alias("kind"), at.alias("at"), row.alias("target")) for df, kind, at, row in parts])
+    ordered = rows.repartitionByRange("series", "number").sortWithinPartitions("series", "number", "kind")
+    out = T.StructType([T.StructField("target", T.StructType(targets.schema.fields)), *[T.StructField(n, t) for n, t in (("known", T.BooleanType()), ("loaded", T.LongType()), ("removed", T.LongType()), ("run_ids", T.LongType()))]])
+    matched = ordered.mapInArrow(_matcher, out)
+    return matched.select("target.*", "known", F.timestamp_micros("loaded").alias("target_loaded_at"), F.timestamp_micros("removed").alias("removed_at"), "run_ids")
 
 
 def references(df: DataFrame, source_table: str, record_id: Column, reference_time: Column, fields: dict[str, Column], loaded_at: str = "loaded_at") -> DataFrame:
@@ -81,12 +126,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removals: DataFrame)
     late. Repeated removals count with the earliest time. Empty inputs give empty or all-missing results.
     """
     per_target = refs.groupBy("target_id").agg(F.max("reference_time").alias("_last_reference"), F.min("record_loaded_at").alias("_first_load"))
-    first_seen = parents.where("id is not null").groupBy(F.col("id").alias("target_id")).agg(F.min("loaded_at").alias("target_loaded_at"))
-    removed = removals.where("entry_id is not null").groupBy(F.col("entry_id").alias("target_id")).agg(F.min("removed_at").alias("removed_at"))
-    known = asof_known(per_target, key_runs(first_seen, "target_id"))
+    first_seen = parents.where("id is not null").groupBy(F.col("id").alias("target_id")).agg(F.min("loaded_at").alias("at"))
+    removed = removals.where("entry_id is not null").groupBy(F.col("entry_id").alias("target_id")).agg(F.min("removed_at").alias("at"))
     faulty = (
-        known.join(first_seen, "target_id", "left")
-        .join(removed, "target_id", "left")
+        matched_targets(per_target, first_seen, removed)
         .where((~F.col("known")) | (F.col("removed_at") <= F.col("_last_reference")) | (F.col("target_loaded_at") > F.col("_first_load")))
         .select("target_id", "known", "target_loaded_at", "removed_at")
     )

@@ -1,8 +1,11 @@
 """References to records that do not exist."""
 
+import random
 from datetime import datetime, timedelta
 
-from lorespark.operators.orphans import BLOCK_BITS, asof_known, key_runs, orphan_references, orphan_report, vault_references
+import pytest
+
+from lorespark.operators.orphans import matched_targets, orphan_references, orphan_report, vault_references
 
 T0 = datetime(2025, 1, 31, 23, 0)
 ENTRY = "id string, updated timestamp, loaded_at timestamp, supersedes array<string>, superseded_by string, links array<string>, target_id string, series string"
@@ -27,17 +30,43 @@ def found(spark, e, q=(), r=()):
     return {tuple(x) for x in orphan_references(refs, e.select("id", "loaded_at"), removals(spark, r)).collect()}
 
 
-def test_runs_are_contiguous_and_stay_in_their_block(spark):
-    edge = 1 << BLOCK_BITS
-    ids = [f"m-{n:06x}" for n in (1, 2, 3, 7, edge - 1, edge, edge + 1)] + ["m-000001", None, "zz", "m-1"]
-    runs = {tuple(r) for r in key_runs(spark.createDataFrame([(i,) for i in ids], "id string")).select("series", "run_start", "run_end", "n_ids").collect()}
-    assert runs == {("6:m-", 1, 3, 3), ("6:m-", 7, 7, 1), ("6:m-", edge - 1, edge - 1, 1), ("6:m-", edge, edge + 1, 2), ("0:zz", 0, 0, 1), ("1:m-", 1, 1, 1)}
+def matched(spark, targets, parents, removed=()):
+    at = lambda ids: spark.createDataFrame([(i, T0) for i in ids], "target_id string, at timestamp")
+    asked = spark.createDataFrame([(t, 1) for t in targets], "target_id string, extra int")
+    return {r["target_id"]: r for r in matched_targets(asked, at(parents), at(removed)).collect()}
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_known_ids_without_an_unknown_target_between_are_one_run(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = matched(spark, ["m-02", "m-77", "m-50", "m-ff", "a-01"], ["m-01", "m-02", "m-09", "m-77", "m-80"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {t for t, r in rows.items() if r["known"]} == {"m-02", "m-77"}
+    if partitions == 1:  # runs end at the borders of partitions
+        assert {t: r["run_ids"] for t, r in rows.items()} == {"m-02": 2, "m-50": 3, "m-77": 1, "m-ff": 2, "a-01": 0}
 
 
 def test_asof_match_tells_ids_of_other_width_or_series_apart(spark):
-    runs = key_runs(spark.createDataFrame([("m-01",), ("m-02",), ("n-05",), ("xyz",)], "id string"))
-    asked = spark.createDataFrame([(t,) for t in ("m-01", "m-02", "m-03", "m-1", "m-001", "n-04", "n-05", "xyz", "xyw", "", "m-" + "f" * 40)], "target_id string")
-    assert {r[0] for r in asof_known(asked, runs).where("known").collect()} == {"m-01", "m-02", "n-05", "xyz"}
+    asked = ["m-01", "m-02", "m-03", "m-1", "m-001", "n-04", "n-05", "xyz", "xyw", "", "m-" + "f" * 40]
+    rows = matched(spark, asked, ["m-01", "m-02", "n-05", "xyz"], ["m-03", "m-02"])
+    assert {t for t, r in rows.items() if r["known"]} == {"m-01", "m-02", "n-05", "xyz"}
+    assert {t for t, r in rows.items() if r["removed_at"] is not None} == {"m-02", "m-03"}
+    assert {t for t, r in rows.items() if r["target_loaded_at"] is not None} == {t for t, r in rows.items() if r["known"]}
+
+
+def test_matching_across_batches_equals_sets(spark):
+    rng = random.Random(5)
+    every = [f"{rng.choice('xyz')}-{rng.randint(0, 4000):04x}" for _ in range(3000)]
+    parents, asked, removed = (set(rng.sample(every, 1200)) for _ in range(3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = matched(spark, asked, parents, removed)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(rows) == asked and {t for t, r in rows.items() if r["known"]} == asked & parents
+    assert {t for t, r in rows.items() if r["removed_at"] is not None} == asked & removed
 
 
 def test_reasons_in_their_order(spark):
