@@ -4,8 +4,9 @@ Sizes are tokens of a public tokenizer, counted once per document in Arrow batch
 capped water-filling: a source that cannot fill its quota with ``max_repeats`` uses of every document is clamped there, and
 what it leaves is spread over the others in proportion to their shares, until nothing changes. A quota is a number of
 whole repetitions of all documents of the source and a fraction: the documents of the fraction are those with the
-smallest seeded hashes, cut where their tokens reach it. The cut is found with a histogram of hashes (a bounded number of
-bins per source) and a running sum within the one bin where it falls.
+smallest seeded hashes, cut where their tokens reach it. The cut is found by histograms of hashes, each with ``BINS`` bins per
+source: the bin in which the cut falls is split again, ``LEVELS`` times, and a running sum is taken in the last one, which
+holds one document in ``BINS ** LEVELS``.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 
 from lorespark.llm.staging import staged
 
-#: Hash bins per source, and levels: a bin that holds the cut is split again.
-BINS = 1024
+#: Hash bins per source (a power of two), and how often the bin that holds the cut is split.
+BINS, LEVELS = 1024, 3
+#: How the texts of rank files are split before the merges (fixed value, as published with the vocabularies).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Folder of the vocabularies of public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 #: Sources a mixture may name: their table goes through the driver.
@@ -31,16 +34,12 @@ def _load(folder: str, file: str):
     """A function from texts to token counts. Special tokens count as ordinary text."""
     if file.endswith(".tiktoken"):
         import base64
-        import importlib.util
         from pathlib import Path
 
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("tokenizer_files", Path(folder) / "__init__.py")
-        files = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(files)
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (Path(folder) / file).read_bytes().splitlines())}
-        encoding = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
     if file.endswith(".model"):
         import sentencepiece
@@ -113,15 +112,19 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
         return sized.where("false").select("doc_id", "source", "n_tokens", F.lit(1).alias("repeats"))
     spark = documents.sparkSession
     planned = F.broadcast(spark.createDataFrame([(s, w, f) for s, (w, f) in plan.items()], "source string, _whole int, _fraction double"))
-    bin_ = F.shiftrightunsigned("_h", 64 - BINS.bit_length() + 1)
-    binned = sized.join(planned, "source").withColumn("_bin", bin_)
-    bins = binned.groupBy("source", "_bin").agg(F.sum("n_tokens").alias("_n"), F.first("_fraction").alias("_fraction"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = bins.withColumn("_below", below).where("_below <= _fraction and _fraction < _below + _n").select("source", F.col("_bin").alias("_cut"), "_below")
-    at = binned.join(F.broadcast(cuts), "source", "left")  # one row per source
-    within = at.where("_bin = _cut")
+    bits = BINS.bit_length() - 1
+    cuts = planned.select("source", "_fraction", F.lit(0).cast("bigint").alias("_cut"), F.lit(0).cast("bigint").alias("_below"))
+    for level in range(1, LEVELS + 1):
+        inside = sized.join(F.broadcast(cuts), "source")  # one row per source
+        if level > 1:
+            inside = inside.where(F.shiftrightunsigned("_h", 64 - (level - 1) * bits) == F.col("_cut"))
+        bins = inside.groupBy("source", F.shiftrightunsigned("_h", 64 - level * bits).alias("_bin")).agg(F.sum("n_tokens").alias("_n"), F.first("_fraction").alias("_fraction"), F.first("_below").alias("_from"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        reached = bins.withColumn("_next", F.col("_from") + before).where("_next <= _fraction and _fraction < _next + _n")
+        cuts = staged(reached.select("source", "_fraction", F.col("_bin").alias("_cut"), F.col("_next").alias("_below")))
+    at = sized.join(planned.drop("_fraction"), "source").join(F.broadcast(cuts), "source", "left").withColumn("_bin", F.shiftrightunsigned("_h", 64 - LEVELS * bits))
     order = Window.partitionBy("source").orderBy("_h", "doc_id")
-    last = within.withColumn("_upto", F.col("_below") + F.sum("n_tokens").over(order)).where("_upto <= _fraction").groupBy("source").agg(F.max(F.struct("_h", "doc_id")).alias("_last"))
+    last = at.where("_bin = _cut").withColumn("_upto", F.col("_below") + F.sum("n_tokens").over(order)).where("_upto <= _fraction").groupBy("source").agg(F.max(F.struct("_h", "doc_id")).alias("_last"))
     chosen = at.join(F.broadcast(last), "source", "left")  # one row per source
     in_fraction = (F.col("_bin") < F.col("_cut")) | ((F.col("_bin") == F.col("_cut")) & (F.struct("_h", "doc_id") <= F.col("_last")))
     repeats = F.col("_whole") + F.coalesce(in_fraction, F.lit(False)).cast("int")

@@ -1,8 +1,8 @@
 """Text cut off by field limits or mid-transfer.
 
 Every value is reduced to a few facts on its length and its end (no text is shuffled). Per source and field, the histogram
-of lengths, in characters and in bytes, is tested for a spike at its maximum: a limit leaves many values of exactly that
-length where the lengths below it are sparse. A value at a spike length without terminal punctuation is cut. Elsewhere a
+of lengths, in characters and in bytes, is tested for spikes at its maximum, or at what is the maximum once few longer
+values are peeled off: a limit leaves many values of exactly that length where the lengths below it are sparse. A value at a spike length without terminal punctuation is cut. Elsewhere a
 value is cut if it ends with a mark of the cut, inside a character, inside an open code block, or inside a word or
 sentence; a closing block, list, path or command line, a text that trails off on purpose and a short request are whole.
 Whether a closing path or command is complete is read from the closings of all values: an extension or name that is a rare
@@ -11,15 +11,13 @@ beginning of a common one is not.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.staging import small, staged
 
-#: Lengths below the maximum that a spike is compared with.
-NEAR = 40
+#: Lengths below a spike that it is compared with, and how many longer values there may be for each value of a spike.
+NEAR, LONGER_SHARE = 40, 0.1
 #: A spike has at least this many values, and this many times the mean count of the lengths below it.
 SPIKE_COUNT, SPIKE_TIMES = 3, 4
 #: A common closing has at least this share of all closings of its kind (so at most 1 / share are common) and this count.
@@ -78,19 +76,20 @@ def end_facts(values: DataFrame) -> DataFrame:
 
 
 def length_spikes(facts: DataFrame) -> DataFrame:
-    """source, field_name, unit, length: the maximum length of a source's field where it is a spike."""
-    spikes = []
-    for unit in ("n_chars", "n_bytes"):
-        counts = facts.groupBy("source_table", "source", "field_name", F.col(unit).alias("length")).agg(F.count("*").alias("n"))
-        longest = counts.groupBy("source_table", "source", "field_name").agg(F.max("length").alias("limit"))
-        near = (
-            counts.join(longest, ["source_table", "source", "field_name"])
-            .where(F.col("length") >= F.col("limit") - NEAR)
-            .groupBy("source_table", "source", "field_name", "limit")
-            .agg(F.sum(F.when(F.col("length") == F.col("limit"), F.col("n"))).alias("at"), F.coalesce(F.sum(F.when(F.col("length") < F.col("limit"), F.col("n"))), F.lit(0)).alias("below"))
-        )
-        spikes.append(near.where((F.col("at") >= SPIKE_COUNT) & (F.col("at") >= SPIKE_TIMES * F.col("below") / NEAR)).select("source_table", "source", "field_name", F.lit(unit).alias("unit"), "limit"))
-    return reduce(DataFrame.unionByName, spikes)
+    """source_table, source, field_name, unit, limit: the lengths of a source's field that are spikes at its maximum.
+
+    Longer values may be ``LONGER_SHARE`` of those at the spike (outliers, or values from before a limit), so a field has
+    few spikes. A group of the windows has one row per distinct length.
+    """
+    group = ["source_table", "source", "field_name", "unit"]
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("bigint").alias("length")) for u in ("n_chars", "n_bytes")])
+    counts = facts.select("source_table", "source", "field_name", F.inline(units)).groupBy(*group, "length").agg(F.count("*").alias("n"))
+    by_length = Window.partitionBy(*group).orderBy("length")
+    below = F.coalesce(F.sum("n").over(by_length.rangeBetween(-NEAR, -1)), F.lit(0))
+    longer = F.coalesce(F.sum("n").over(by_length.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+    at = F.col("n")
+    spike = (at >= SPIKE_COUNT) & (at >= SPIKE_TIMES * F.col("below") / NEAR) & (F.col("longer") <= LONGER_SHARE * at)
+    return counts.withColumns({"below": below, "longer": longer}).where(spike).select(*group, F.col("length").alias("limit"))
 
 
 def common_closings(facts: DataFrame) -> DataFrame:
@@ -109,9 +108,10 @@ def judged_values(values: DataFrame) -> DataFrame:
     source ''; empty tables give an empty result; extra columns are ignored. Texts of any length are read whole.
     """
     facts = staged(end_facts(values).groupBy("source_table", "record_id", "turn_id", "field_name").agg(F.min(F.struct("source", "n_chars", "n_bytes", "marked", "terminal", "closed", "kind", "piece")).alias("f")).select("source_table", "record_id", "turn_id", "field_name", "f.*"))
-    limits = length_spikes(facts).groupBy("source_table", "source", "field_name").agg(F.max(F.when(F.col("unit") == "n_chars", F.col("limit"))).alias("chars_limit"), F.max(F.when(F.col("unit") == "n_bytes", F.col("limit"))).alias("bytes_limit"))
+    limits = length_spikes(facts).groupBy("source_table", "source", "field_name").agg(*[F.collect_set(F.when(F.col("unit") == unit, F.col("limit"))).alias(name) for unit, name in (("n_chars", "chars_limits"), ("n_bytes", "bytes_limits"))])
     known = F.broadcast(common_closings(facts))  # one row for each of three kinds
-    at_limit = (F.col("n_chars") == F.col("chars_limit")) | F.col("n_bytes").between(F.col("bytes_limit") - 3, F.col("bytes_limit")) & ((F.col("n_bytes") == F.col("bytes_limit")) | (F.col("n_chars") < F.col("n_bytes")))
+    cut_in_bytes = lambda x: F.col("n_bytes").between(x - 3, x) & ((F.col("n_bytes") == x) | (F.col("n_chars") < F.col("n_bytes")))
+    at_limit = F.array_contains("chars_limits", F.col("n_chars").cast("bigint")) | F.exists("bytes_limits", cut_in_bytes)
     common = F.coalesce("common", F.array().cast("array<string>"))
     begun = ~F.array_contains(common, F.col("piece")) & F.exists(common, lambda c: c.startswith(F.col("piece")))
     complete = F.col("kind").isNotNull() & (F.col("piece") != "") & ~begun

@@ -57,7 +57,7 @@ def test_cut_values_without_a_limit(spark):
 
 def test_a_limit_shows_as_a_spike(spark):
     rng = random.Random(1)
-    text = lambda n: ("word " * 40)[:n]
+    text = lambda n: ("word " * 100)[:n]
     rows = [("t", f"s{i}", "", "response", " Host ", text(rng.randint(20, 60)) + ".") for i in range(60)]
     rows += [("t", f"l{i}", "", "response", "host", "- src/x.py, and some more words to fill it up so that it is seventy-nine.py"[:75].ljust(78, "x") + " a") for i in range(8)]
     rows += [("t", "end", "", "response", "host", text(79) + ".")]
@@ -65,6 +65,11 @@ def test_a_limit_shows_as_a_spike(spark):
     assert {(r["unit"], r["limit"]) for r in C.length_spikes(facts).collect()} == {("n_chars", 80), ("n_bytes", 80)}
     got = cut(spark, rows)
     assert {f"l{i}" for i in range(8)} <= got and "end" not in got
+    # values from before the limit do not hide it
+    old = rows + [("t", f"m{i}", "", "response", "host", text(79) + ".") for i in range(40)] + [("t", f"old{k}", "", "response", "host", text(300 + 7 * k) + ".") for k in range(3)]
+    assert {(r["unit"], r["limit"]) for r in C.length_spikes(C.end_facts(values(spark, old))).collect()} == {("n_chars", 80), ("n_bytes", 80)}
+    few = rows + [("t", f"old{k}", "", "response", "host", text(300 + 7 * k) + ".") for k in range(3)]
+    assert C.length_spikes(C.end_facts(values(spark, few))).isEmpty()
 
 
 def test_rates(spark):
@@ -151,6 +156,15 @@ def test_fractions_are_met_to_one_document(spark, tokenizer):
         assert wanted - 60 <= used[source] <= wanted
 
 
+@pytest.mark.parametrize("bins", [2, 4])
+def test_the_bin_of_the_cut_is_split_again(spark, monkeypatch, bins):
+    docs = [(i, "ab"[i % 2], "words and more " * (1 + i % 7)) for i in range(200)]
+    targets = [("a", 1.0, 3), ("b", 2.0, 3)]
+    wanted = sorted(map(tuple, mix(spark, docs, targets, total_tokens=900)[0].collect()))
+    monkeypatch.setattr(M, "BINS", bins)
+    assert sorted(map(tuple, mix(spark, docs, targets, total_tokens=900)[0].collect())) == wanted and wanted
+
+
 def test_empty_mixtures(spark):
     assert mix(spark, [], [("a", 1.0, 1)])[0].isEmpty() and mix(spark, [(1, "a", "x")], [])[0].isEmpty() and mix(spark, [(1, "a", "x")], [("a", 0.0, 1)])[0].isEmpty()
 
