@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 #: Query terms used at most.
@@ -20,44 +18,52 @@ def keyword_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
-@F.pandas_udf(T.StringType())
-def fold_diacritics(text: pd.Series) -> pd.Series:
-    """Text without combining marks, so that accented letters match plain ones."""
-    return text.map(lambda t: None if t is None else t if t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+def _plain_letters() -> tuple[str, str]:
+    """The letters of the Latin blocks beyond ASCII that are an ASCII letter with marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for block in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(*block)]
+    kept = [(c, plain) for c, plain in pairs if plain != c and plain.isascii() and plain.isalpha()]
+    return "".join(c for c, _ in kept), "".join(p for _, p in kept)
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
+def folded(text: Column) -> Column:
+    """``text`` with accented Latin letters as plain ones and without combining marks."""
+    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{Mn}+", "")
 
 
 def query_terms(query: str) -> list[tuple[str, bool]]:
     """(term, whether it matches as a prefix): distinct terms of a query in order, without single ASCII letters; a term
     with other than ASCII characters matches as a prefix."""
-    runs = "".join(c if c.isalnum() else " " for c in query).split()
+    plain = "".join(c for c in query.translate(str.maketrans(_MARKED, _PLAIN)) if unicodedata.category(c) != "Mn")
+    runs = "".join(c if c.isalnum() else " " for c in plain).split()
     kept = dict.fromkeys(t.lower() for t in runs if len(t) > 1 or not (t.isascii() and t.isalpha()))
     return [(t, not t.isascii()) for t in list(kept)[:MAX_TERMS]]
 
 
-def postings(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """id, token, tf, length: token counts over all indexed columns (null ones are empty) and the row's token count."""
+def keyword_documents(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """id, length, tokens: the words of all columns (null ones are empty) with diacritics folded, and how many they are."""
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
-    words = documents.select("id", keyword_tokens(text).alias("_w"))
-    return words.select("id", F.size("_w").alias("length"), F.explode("_w").alias("token")).groupBy("id", "token", "length").agg(F.count("*").alias("tf"))
+    return documents.select("id", keyword_tokens(folded(text)).alias("tokens")).withColumn("length", F.size("tokens"))
 
 
-def bm25(documents: DataFrame, columns: list[str], query: str, every: bool = False, k: int | None = None) -> DataFrame:
+def bm25(indexed: DataFrame, query: str, every: bool = False, k: int | None = None) -> DataFrame:
     """id, score of the rows that have any query term (all of them with ``every``), higher is better; ``k`` best if given.
 
-    Only the postings of the query's terms are kept before any shuffle; totals are two numbers. Ties break by id.
+    ``indexed`` as from :func:`keyword_documents`, best from an index (see operators.index). It is read twice: once for the
+    number of rows, their mean length and the terms' document frequencies, once to score the rows that have a term.
+    Nothing is shuffled but the ``k`` best of each task. Ties break by id.
     """
     terms = query_terms(query)
-    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])
-    rows = documents.select("id", keyword_tokens(text).alias("_w")).withColumn("length", F.size("_w"))
-    totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    if not terms or not totals["n"]:
-        return documents.select("id", F.lit(0.0).alias("score")).where("false")
     counts = [_times(t, prefix) for t, prefix in terms]
-    hit = rows.select("id", "length", F.array(*counts).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+    totals = indexed.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(c > 0).alias(f"d{i}") for i, c in enumerate(counts)]).first()
+    if not terms or not totals["n"]:
+        return indexed.select("id", F.lit(0.0).alias("score")).where("false")
+    hit = indexed.select("id", "length", F.array(*counts).alias("tf")).where(F.exists("tf", lambda x: x > 0))
     if every:
         hit = hit.where(F.forall("tf", lambda x: x > 0))
-    df = rows.select(*[F.count_if(c > 0).alias(f"d{i}") for i, c in enumerate(counts)]).first()
-    idf = [max(math.log((totals["n"] - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) for i in range(len(terms))]
+    idf = [max(math.log((totals["n"] - totals[f"d{i}"] + 0.5) / (totals[f"d{i}"] + 0.5)), 1e-6) for i in range(len(terms))]
     score = F.lit(0.0)
     for i, w in enumerate(idf):
         f = F.col("tf")[i]
@@ -67,8 +73,8 @@ def bm25(documents: DataFrame, columns: list[str], query: str, every: bool = Fal
 
 
 def _times(term: str, prefix: bool) -> Column:
-    """How often a term stands in the words ``_w``."""
-    return F.size(F.filter("_w", lambda w: w.startswith(term) if prefix else w == term))
+    """How often a term stands among the tokens."""
+    return F.size(F.filter("tokens", lambda w: w.startswith(term) if prefix else w == term))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import excerpt
@@ -40,6 +40,58 @@ def patched(entries: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.drop("_p")
 
 
+def created(drafts: DataFrame, now: Column, prefix: str = "mem") -> DataFrame:
+    """New entries of drafts (title, content, kind, tags, confidence, source_agent): active, verified now, with the id
+    ``prefix-yyyyMMdd-6 hex digits`` (of the title, content and time, so that a repeated run makes the same ids), a body
+    that begins with the title as heading, and a path in the folder of the kind.
+
+    Drafts whose title or content is blank make no entry; a null confidence means 0.5. Equal drafts make one entry, and
+    further drafts that meet with one id get 12 digits.
+    """
+    usable = drafts.where((F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("content", F.lit(""))) != ""))
+    day = F.date_format(now, "yyyyMMdd")
+    digits = F.sha2(F.concat_ws("\x1f", "title", "content", day), 256)
+    once = usable.withColumn("_h", digits).dropDuplicates(["_h"])
+    order = F.row_number().over(Window.partitionBy(F.substring("_h", 1, 6)).orderBy("_h"))
+    id_ = F.concat(F.lit(prefix), F.lit("-"), day, F.lit("-"), F.substring("_h", F.lit(1), F.when(F.col("_n") > 1, 12).otherwise(6)))
+    none = F.array().cast("array<string>")
+    return once.withColumn("_n", order).withColumn("_id", id_).select(
+        F.col("_id").alias("id"), "kind", "title", F.lit("active").alias("status"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.coalesce("tags", none).alias("tags"),
+        F.filter(F.array("source_agent"), lambda a: a.isNotNull()).alias("source_agents"), now.alias("created"), now.alias("updated"), now.alias("last_verified"), F.lit(None).cast("timestamp").alias("expires"),
+        none.alias("supersedes"), F.lit(None).cast("string").alias("superseded_by"), none.alias("links"), F.lit(0.05).alias("decay_rate"),
+        F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("content")).alias("body"), F.concat("kind", F.lit("/"), "_id", F.lit(".md")).alias("path"),
+    )
+
+
+def superseded(entries: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
+    """``entries`` after each of ``pairs`` (old_id, new_id): the old one is superseded by the new, the new one names and links
+    the old, each once; both are updated now.
+
+    Pairs whose ids are null, equal or not both there change nothing. Of several new ids of one old the smallest counts.
+    """
+    known = entries.select("id").distinct()
+    asked = pairs.where("old_id is not null and new_id is not null and old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    sound = asked.join(known.withColumnRenamed("id", "old_id"), "old_id", "left_semi").join(known.withColumnRenamed("id", "new_id"), "new_id", "left_semi")
+    by_old = sound.select(F.col("old_id").alias("id"), F.col("new_id").alias("_new"))
+    by_new = sound.groupBy(F.col("new_id").alias("id")).agg(F.array_sort(F.collect_set("old_id")).alias("_olds"))
+    none = F.array().cast("array<string>")
+    added = lambda c: F.array_union(F.coalesce(c, none), F.coalesce("_olds", none))
+    joined = entries.join(by_old, "id", "left").join(by_new, "id", "left")
+    changed = F.col("_new").isNotNull() | F.col("_olds").isNotNull()
+    return joined.select(
+        *[
+            {
+                "status": F.when(F.col("_new").isNotNull(), F.lit("superseded")).otherwise(F.col("status")),
+                "superseded_by": F.coalesce("_new", "superseded_by"),
+                "supersedes": F.when(F.col("_olds").isNotNull(), added("supersedes")).otherwise(F.col("supersedes")),
+                "links": F.when(F.col("_olds").isNotNull(), added("links")).otherwise(F.col("links")),
+                "updated": F.when(changed, now).otherwise(F.col("updated")),
+            }.get(c, F.col(c)).alias(c)
+            for c in entries.columns
+        ]
+    )
+
+
 def versions(entries: DataFrame) -> DataFrame:
     """old_id, new_id, said_by_old, said_by_new: pairs of versions as either side declares them."""
     by_new = entries.select(F.explode(F.transform("supersedes", trimmed)).alias("old_id"), F.col("id").alias("new_id")).where("old_id is not null").distinct().withColumn("_new", F.lit(True))
@@ -53,11 +105,11 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """n, mark: a fingerprint of a set of rows that needs no order: the exclusive or of 60-bit row hashes, so each task
-    sends one number."""
+    """n, mark: a fingerprint of a bag of rows that needs no order: the sum of their 60-bit hashes modulo 2 ** 60, so each
+    task sends one number and repeated rows count."""
     parts = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
     row = F.conv(F.substring(F.sha2(parts, 256), 1, 15), 16, 10).cast("bigint")
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("mark"))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(row.cast("decimal(38,0)")) % F.lit(1 << 60), F.lit(0)).cast("bigint").alias("mark"))
 
 
 def looked_up(lists: DataFrame, entries: DataFrame, most: int = 10) -> DataFrame:

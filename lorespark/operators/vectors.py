@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.hashing import signed_dimension
 from lorespark.functions.text import tokens
+from lorespark.session import cut_lineage
 
 #: Weights nearer to zero are dropped.
 LEAST_WEIGHT = 1e-4
-#: Query vectors of one broadcast block: with 8192 dimensions 64 MB.
-BLOCK_QUERIES = 2_000
+#: Weights of query vectors that one broadcast block holds (12 bytes each).
+BLOCK_WEIGHTS = 4_000_000
 #: Terms kept to explain a dimension.
 TERMS_PER_DIMENSION = 3
 
@@ -33,10 +34,41 @@ def vocabulary(counts: DataFrame, dimensions: int = 8192) -> DataFrame:
 
 def vectors(counts: DataFrame, vocab: DataFrame, n_documents: int) -> DataFrame:
     """id, dim, weight: L2-normalised vectors in long form. Tokens outside the vocabulary are dropped."""
+    return packed_vectors(counts, vocab, n_documents).select("id", F.explode(F.arrays_zip("dims", "weights")).alias("_v")).select("id", F.col("_v.dims").alias("dim"), F.col("_v.weights").alias("weight"))
+
+
+def packed_vectors(counts: DataFrame, vocab: DataFrame, n_documents: int) -> DataFrame:
+    """id, dims, weights: L2-normalised vectors, dimensions rising; rows without a token of the vocabulary are left out.
+
+    The tokens of a text are gathered once (a text has no more than its words); tokens of one dimension are summed and the
+    vector is normalised within the row.
+    """
     idf = F.log(1 + (F.lit(n_documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    summed = counts.join(vocab, "token").groupBy("id", "dim").agg(F.sum(F.col("sign") * (1 + F.log("tf")) * idf).alias("weight")).where(F.abs("weight") >= LEAST_WEIGHT)
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-    return summed.select("id", "dim", (F.col("weight") / norm).alias("weight"))
+    weighed = counts.join(vocab, "token").select("id", "dim", (F.col("sign") * (1 + F.log("tf")) * idf).alias("w"))
+    gathered = weighed.groupBy("id").agg(F.collect_list("dim").alias("dims"), F.collect_list("w").alias("weights"))
+    kind = counts.schema["id"].dataType.simpleString()
+    return gathered.mapInArrow(_normalised, f"id {kind}, dims array<int>, weights array<double>")
+
+
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = np.asarray(batch.column("dims").value_lengths()).astype(np.int64)
+        owner = np.repeat(np.arange(batch.num_rows), lengths)
+        dims, weights = batch.column("dims").flatten().to_numpy(), batch.column("weights").flatten().to_numpy()
+        order = np.lexsort((weights, dims, owner))  # a sum in one order, whatever the order of the rows
+        owner, dims, weights = owner[order], dims[order], weights[order]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (dims[1:] != dims[:-1])))
+        sums, owner, dims = np.add.reduceat(weights, first), owner[first], dims[first]
+        kept = np.abs(sums) >= LEAST_WEIGHT
+        sums, owner, dims = sums[kept], owner[kept], dims[kept]
+        norms = np.sqrt(np.bincount(owner, sums * sums, batch.num_rows))
+        sizes = np.bincount(owner, minlength=batch.num_rows)
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (dims.astype(np.int32), sums / norms[owner])]
+        out = pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "dims", "weights"])
+        yield out.filter(pa.array(sizes > 0))
 
 
 def dimension_terms(vocab: DataFrame) -> DataFrame:
@@ -55,31 +87,41 @@ def packed(rows: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 8, least: float = 0.08, dimensions: int = 8192) -> DataFrame:
     """query_id, id, similarity, rank: the ``k`` rows most similar to each query, itself left out, above ``least``.
 
-    ``queries`` and ``rows`` are packed vectors. Queries go in blocks of ``BLOCK_QUERIES``; a block is broadcast and every
-    row is scored against it in one scan without a shuffle, keeping the best ``k`` of each task; only those are shuffled.
-    Ties break by id.
+    ``queries`` and ``rows`` are packed vectors. Queries go in blocks of at most about ``BLOCK_WEIGHTS`` weights, as inverted
+    lists by dimension; a block is broadcast and every row is scored against it in one scan without a shuffle, keeping the
+    best ``k`` of each task; only those are shuffled. With several blocks each is written before the next is sent, so one
+    is held at a time. Ties break by id.
     """
     spark = rows.sparkSession
-    blocks = -(-2 * queries.count() // BLOCK_QUERIES) or 1  # twice as many as needed, as hashes spread unevenly
+    total = queries.agg(F.sum(F.size("dims"))).first()[0] or 0
+    blocks = -(-total // BLOCK_WEIGHTS) or 1
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    kind = rows.schema["id"].dataType.simpleString()
     found = None
     for b in range(blocks):
-        block = numbered.where(F.col("_b") == b).select("id", "dims", "weights").collect()  # one block of queries
-        names = [r["id"] for r in block]
-        dense = np.zeros((dimensions, len(block)), np.float64)
-        for j, r in enumerate(block):
-            dense[r["dims"], j] = r["weights"]
-        shared = spark.sparkContext.broadcast((names, dense))
-        kind = rows.schema["id"].dataType.simpleString()
+        block = numbered.where(F.col("_b") == b).select("id", "dims", "weights").toArrow()  # one block of queries
+        shared = spark.sparkContext.broadcast(_inverted(block, dimensions))
         part = rows.mapInArrow(_scorer(shared, k, least), f"query_id {kind}, id {kind}, similarity double")
+        if blocks > 1:
+            part = cut_lineage(part)
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _inverted(block: pa.Table, dimensions: int) -> tuple:
+    """Names of the queries, and for each dimension the range of its (query, weight) entries."""
+    dims, weights = block.column("dims").combine_chunks(), block.column("weights").combine_chunks()
+    owner = np.repeat(np.arange(block.num_rows), np.asarray(dims.value_lengths().fill_null(0)).astype(np.int64)).astype(np.int32)
+    at = dims.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(at, kind="stable")
+    return block.column("id").to_pylist(), np.searchsorted(at[order], np.arange(dimensions + 1)), owner[order], weights.flatten().to_numpy(zero_copy_only=False)[order]
+
+
 def _scorer(shared, k: int, least: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, dense = shared.value
+        names, ranges, owner, entries = shared.value
         own = {name: j for j, name in enumerate(names)}
         best: list[list[tuple]] = [[] for _ in names]
         kind = None
@@ -90,15 +132,19 @@ def _scorer(shared, k: int, least: float):
             at = np.concatenate([[0], np.cumsum(np.asarray(dims.value_lengths().fill_null(0)))])
             all_dims, all_weights = dims.flatten().to_numpy(), weights.flatten().to_numpy()
             for i, name in enumerate(ids):
-                d = all_dims[at[i] : at[i + 1]]
-                scores = all_weights[at[i] : at[i + 1]] @ dense[d]
+                d, w = all_dims[at[i] : at[i + 1]], all_weights[at[i] : at[i + 1]]
+                first, n = ranges[d], ranges[d + 1] - ranges[d]
+                ends = np.cumsum(n)
+                if not len(ends) or not ends[-1]:
+                    continue
+                met = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+                scores = np.bincount(owner[met], entries[met] * np.repeat(w, n), len(names))
                 for j in np.flatnonzero(scores > least):
                     if own.get(name) != j:
                         best[j].append((-scores[j], name))
-            for j, held in enumerate(best):
-                if len(held) > 4 * k:
-                    held.sort()
-                    del held[k:]
+                        if len(best[j]) > 8 * k:
+                            best[j].sort()
+                            del best[j][k:]
         rows = [(names[j], name, -s) for j, held in enumerate(best) for s, name in sorted(held)[:k]]
         if rows:
             q, n, s = zip(*rows)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.config import GraphConfig
 from lorespark.functions.scores import effective_confidence
 from lorespark.functions.text import excerpt
-from lorespark.operators import claims, curate, edges, keyword, reports, topics, traverse, vectors
-from lorespark.session import cut_lineage
+from lorespark.operators import claims, curate, edges, index, keyword, maintain, reports, topics, traverse, vectors
+from lorespark.session import cut_lineage, ensure_checkpoint_dir
 
 #: Candidates that a search asks each layer for: four times the limit, at least 1 and at most this many.
 MAX_DEPTH = 40
@@ -30,19 +32,32 @@ def full_graph(entries: DataFrame, near: DataFrame, packed: DataFrame, config: G
 class Vault:
     """The entries of a vault (columns as in schema.ENTRY) as of ``now``.
 
-    Token counts, vocabulary and vectors are computed on first use and written to the shared folder.
+    The retrieval index is opened or built on first use, in ``folder`` or in one of this vault in the shared folder.
     """
 
-    def __init__(self, entries: DataFrame, now: Column, config: GraphConfig | None = None):
+    def __init__(self, entries: DataFrame, now: Column, config: GraphConfig | None = None, folder: str | None = None):
         self.config = (config or GraphConfig()).validate()
         self.entries = entries.withColumn("effective_confidence", effective_confidence(now))
         self._now = now
-        self._space: tuple | None = None
+        self._folder = folder or f"{ensure_checkpoint_dir(entries.sparkSession).rstrip('/')}/index-{uuid.uuid4().hex}"
+        self._space: index.Index | None = None
 
     # reading
 
     def get(self, id_: str) -> DataFrame:
-        return self.entries.where(F.col("id") == id_)
+        """The entry of an id; an unknown one raises an error."""
+        found = self.entries.where(F.col("id") == id_)
+        if found.isEmpty():
+            raise KeyError(id_)
+        return found
+
+    # writing: each gives the entries as they are afterwards
+
+    def create(self, drafts: DataFrame, prefix: str = "mem") -> DataFrame:
+        return self.entries.drop("effective_confidence").unionByName(maintain.created(drafts, self._now, prefix), allowMissingColumns=True)
+
+    def supersede(self, pairs: DataFrame) -> DataFrame:
+        return maintain.superseded(self.entries.drop("effective_confidence"), pairs, self._now)
 
     def list(self, offset: int = 0, limit: int = 50, **conditions) -> DataFrame:
         return reports.page(reports.filtered(self.entries, **conditions), offset, limit)
@@ -52,28 +67,20 @@ class Vault:
 
     # retrieval
 
-    def _texts(self) -> DataFrame:
-        empty = F.array().cast("array<string>")
-        return self.entries.select("id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("title", F.lit("")), F.array_join(F.coalesce("tags", empty), " "), F.coalesce("body", F.lit(""))).alias("text"))
-
-    def space(self) -> tuple[DataFrame, DataFrame, int]:
-        """The vocabulary, the packed vectors and the number of entries."""
+    def index(self) -> index.Index:
+        """The retrieval index, opened where one fits these entries and settings, else built."""
         if self._space is None:
-            n = self.entries.count()
-            counts = cut_lineage(vectors.term_counts(self._texts()))
-            vocab = cut_lineage(vectors.vocabulary(counts, self.config.dimensions))
-            self._space = vocab, cut_lineage(vectors.packed(vectors.vectors(counts, vocab, n))), n
+            self._space = index.ensured_index(self.entries, self._folder, self.config.dimensions)
         return self._space
 
     def keyword_search(self, query: str, limit: int = 10, every: bool = True) -> DataFrame:
-        flat = self.entries.withColumn("tags", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
-        best = keyword.bm25(flat, ["title", "body", "tags"], query, every, limit)
+        best = keyword.bm25(self.index().documents, query, every, limit)
         return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id")))  # ``limit`` rows
 
     def semantic_search(self, query: str, limit: int = 10) -> DataFrame:
-        vocab, packed, n = self.space()
+        own = self.index()
         asked = vectors.term_counts(self.entries.sparkSession.createDataFrame([("?", query)], "id string, text string"))
-        return vectors.nearest(vectors.packed(vectors.vectors(asked, vocab, n)), packed, limit, 0.02, self.config.dimensions)
+        return vectors.nearest(vectors.packed_vectors(asked, own.vocabulary, own.n), own.packed, limit, 0.02, self.config.dimensions)
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """Hybrid search: id, title, excerpt, score and both ranks, best first."""
@@ -83,7 +90,7 @@ class Vault:
         return shown.join(F.broadcast(fused), "id").orderBy(F.desc("score"), "id")  # ``limit`` rows
 
     def similar(self, id_: str, limit: int = 10, least: float | None = None) -> DataFrame:
-        _, packed, _ = self.space()
+        packed = self.index().packed
         return vectors.nearest(packed.where(F.col("id") == id_), packed, limit, self.config.semantic_min_similarity if least is None else least, self.config.dimensions)
 
     # the graph
@@ -93,7 +100,7 @@ class Vault:
         ``member``) always stays. ``queries`` says which entries look for semantic neighbours (all by default;
         each block of queries is one scan of all vectors, so on a large vault name a part)."""
         c = self.config
-        _, packed, _ = self.space()
+        packed = self.index().packed
         near = vectors.nearest(packed if queries is None else packed.join(self.entries.where(queries).select("id"), "id", "left_semi"), packed, c.semantic_top_k, c.semantic_min_similarity, c.dimensions)
         return full_graph(self.entries, near, packed, c)
 

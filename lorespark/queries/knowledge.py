@@ -88,12 +88,12 @@ def edges_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_corroborating(spark: SparkSession, sf_dir: str) -> DataFrame:
     firm = cut_lineage(C.firm(_e(spark, sf_dir)))
-    return G.corroborations(firm, cut_lineage(V.packed(_space(spark, sf_dir)[2])), 0.02, DIMENSIONS).select("from_id", "to_id", F.round("weight", 6).alias("weight"), "evidence")
+    return G.corroborations(firm, cut_lineage(_space(spark, sf_dir)[2]), 0.02, DIMENSIONS).select("from_id", "to_id", F.round("weight", 6).alias("weight"), "evidence")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of all six kinds in one graph, within the budget of inferred edges; semantic ones from the query set."""
-    packed = cut_lineage(V.packed(_space(spark, sf_dir)[2]))
+    packed = cut_lineage(_space(spark, sf_dir)[2])
     config = GraphConfig(dimensions=DIMENSIONS)
     near = V.nearest(asked(packed), packed, config.semantic_top_k, config.semantic_min_similarity, DIMENSIONS)
     return cut_lineage(full_graph(_e(spark, sf_dir), near, packed, config))

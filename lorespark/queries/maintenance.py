@@ -10,7 +10,7 @@ from lorespark.operators import maintain as M
 from lorespark.operators.copies import earliest_copy
 from lorespark.operators.curate import EVIDENCE
 from lorespark.queries.base import C, E, captures, entries
-from lorespark.queries.retrieval import _bm25_sql, _documents, _ranked
+from lorespark.queries.retrieval import _bm25_sql, _indexed, _ranked
 from lorespark.session import table
 
 PROMPT = "why did the flush of the index fail"
@@ -57,7 +57,7 @@ def keyword_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _ranked(K.bm25(_documents(spark, sf_dir), ["title", "body", "tags"], PROMPT, k=8)).select("id", "rank")
+    hits = _ranked(K.bm25(_indexed(spark, sf_dir), PROMPT, k=8)).select("id", "rank")
     return M.prompt_context(hits, entries(spark, sf_dir, "status", "title", "body"))
 
 
@@ -74,7 +74,7 @@ SELECT id, coalesce(p.x.title, title) AS title, coalesce(p.x.kind, kind) AS kind
     "entry_versions": f"""WITH {E}, n AS (SELECT DISTINCT {_TRIM.format('s')} AS old_id, id AS new_id FROM (SELECT id, unnest(supersedes) AS s FROM e) WHERE {_TRIM.format('s')} <> ''), o AS (SELECT DISTINCT id AS old_id, {_TRIM.format('superseded_by')} AS new_id FROM e WHERE {_TRIM.format('superseded_by')} <> '')
 SELECT old_id, new_id, o.old_id IS NOT NULL AS said_by_old, n.old_id IS NOT NULL AS said_by_new FROM n FULL JOIN o USING (old_id, new_id)""",
     "queue_difference": f"WITH {C}, {_I} SELECT id, 'left' AS side FROM c WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT id, 'right' FROM i WHERE id NOT IN (SELECT id FROM c)",
-    "vault_fingerprint": f"WITH {E} SELECT count(*) AS n, bit_xor(('0x' || substring(sha256(concat_ws(chr(31), id, coalesce(kind, chr(0)), coalesce(title, chr(0)), coalesce(status, chr(0)), coalesce(body, chr(0)))), 1, 15))::BIGINT) AS mark FROM e",
+    "vault_fingerprint": f"WITH {E} SELECT count(*) AS n, (sum(('0x' || substring(sha256(concat_ws(chr(31), id, coalesce(kind, chr(0)), coalesce(title, chr(0)), coalesce(status, chr(0)), coalesce(body, chr(0)))), 1, 15))::HUGEINT) % 1152921504606846976)::BIGINT AS mark FROM e",
     "candidate_lookup": f"WITH {E}, {_I}, l AS (SELECT id, unnest(candidate.related_entries[1:10]) AS entry_id, generate_subscripts(candidate.related_entries[1:10], 1) - 1 AS place FROM i) SELECT l.id, place::INT AS place, entry_id, left(e.title, 256) AS title, left(e.body, 2000) AS body FROM l JOIN e ON e.id = entry_id",
     "entry_review": f"WITH {E}, r AS (SELECT id, coalesce(regexp_matches(body, '{EVIDENCE}'), false) AS v, length(trim(coalesce(body, ''))) < 120 AND coalesce(len(tags), 0) = 0 AS p FROM e) SELECT id, v AS has_evidence, CASE WHEN v THEN 0.65 ELSE 0.5 END::DOUBLE AS proposed_confidence, p AS placeholder FROM r",
     "keyword_snippets": f"""WITH {E}, w AS (SELECT id, list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '') AS w FROM e), f AS (SELECT id, w, list_position(list_transform(w, lambda x: starts_with(lower(x), 'flush')), true) AS f FROM w), s AS (SELECT *, greatest(1, f - 9) AS s FROM f WHERE f > 0)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.hashing import content_hash
 from lorespark.functions.text import STOP_WORDS, tokens
+from lorespark.operators import index as I
 from lorespark.operators import keyword as K
 from lorespark.operators import vectors as V
 from lorespark.queries.base import E, entries
-from lorespark.session import cut_lineage, table
+from lorespark.session import cut_lineage, ensure_checkpoint_dir, table
 
 DIMENSIONS = 8192
 QUERY = "stale lock in the nightly run"
@@ -22,12 +25,22 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("title", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), F.coalesce("body", F.lit(""))).alias("text"))
 
 
-def _space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Term counts, vocabulary and vectors of the entries, computed once each."""
-    t = texts(spark, sf_dir)
+def _space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Term counts, vocabulary, packed vectors and number of the entries, computed once each."""
+    t = cut_lineage(texts(spark, sf_dir))
+    n = t.count()
     counts = cut_lineage(V.term_counts(t))
     vocab = cut_lineage(V.vocabulary(counts, DIMENSIONS))
-    return counts, vocab, V.vectors(counts, vocab, t.count())
+    return counts, vocab, V.packed_vectors(counts, vocab, n), n
+
+
+def _long(packed: DataFrame) -> DataFrame:
+    return packed.select("id", F.inline(F.arrays_zip(F.col("dims").alias("dim"), F.col("weights").alias("weight"))))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the entries for keyword search, written once."""
+    return cut_lineage(K.keyword_documents(_documents(spark, sf_dir), ["title", "body", "tags"]))
 
 
 def entry_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +68,7 @@ def dimension_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _space(spark, sf_dir)[2].select("id", "dim", F.round("weight", 6).alias("weight"))
+    return _long(_space(spark, sf_dir)[2]).select("id", "dim", F.round("weight", 6).alias("weight"))
 
 
 def asked(vectors: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def asked(vectors: DataFrame) -> DataFrame:
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int = 8, least: float = 0.08) -> DataFrame:
     """Nearest entries of the query set against all rows."""
-    packed = cut_lineage(V.packed(_space(spark, sf_dir)[2]))
+    packed = cut_lineage(_space(spark, sf_dir)[2])
     return V.nearest(asked(packed), packed, k, least, DIMENSIONS)
 
 
@@ -75,9 +88,9 @@ def nearest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explained_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, vocab, vectors = _space(spark, sf_dir)
-    vectors = cut_lineage(vectors)
-    packed = cut_lineage(V.packed(vectors))
+    _, vocab, packed, _ = _space(spark, sf_dir)
+    packed = cut_lineage(packed)
+    vectors = _long(packed)
     near = V.nearest(asked(packed), packed, 3, 0.08, DIMENSIONS).select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"))
     return V.shared_terms(near, vectors, V.dimension_terms(vocab)).select("id_a", "id_b", F.array_join("terms", ", ").alias("terms"))
 
@@ -91,28 +104,38 @@ def _ranked(scored: DataFrame) -> DataFrame:
 
 
 def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.bm25(_documents(spark, sf_dir), ["title", "body", "tags"], QUERY).select("id", F.round("score", 6).alias("score"))
+    return K.bm25(_indexed(spark, sf_dir), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.bm25(_documents(spark, sf_dir), ["title", "body", "tags"], "stale lock", every=True).select("id", F.round("score", 6).alias("score"))
+    return K.bm25(_indexed(spark, sf_dir), "stale lock", every=True).select("id", F.round("score", 6).alias("score"))
 
 
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(K.bm25(_documents(spark, sf_dir), ["title", "body", "tags"], QUERY, k=20)).select("id", "rank")
+    return _ranked(K.bm25(_indexed(spark, sf_dir), QUERY, k=20)).select("id", "rank")
 
 
 def semantic_search(spark: SparkSession, sf_dir: str, query: str = QUERY, k: int = 40) -> DataFrame:
     """The rows most similar to a free text, unknown tokens dropped."""
-    counts, vocab, vectors = _space(spark, sf_dir)
+    _, vocab, packed, n = _space(spark, sf_dir)
+    return _near_text(spark, vocab, packed, n, query, k)
+
+
+def _near_text(spark: SparkSession, vocab: DataFrame, packed: DataFrame, n: int, query: str, k: int) -> DataFrame:
     words = V.term_counts(spark.createDataFrame([("?", query)], "id string, text string"))
-    encoded = V.packed(V.vectors(words, vocab, texts(spark, sf_dir).count()))
-    return V.nearest(encoded, V.packed(vectors), k, 0.02, DIMENSIONS).select("id", "similarity", "rank")
+    return V.nearest(V.packed_vectors(words, vocab, n), packed, k, 0.02, DIMENSIONS).select("id", "similarity", "rank")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The index of the entries, built in the shared folder."""
+    e = cut_lineage(entries(spark, sf_dir, "title", "tags", "body"))
+    return I.build_index(e, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", DIMENSIONS)
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyword = _ranked(K.bm25(_documents(spark, sf_dir), ["title", "body", "tags"], QUERY, k=40))
-    return K.fuse(keyword, semantic_search(spark, sf_dir), 10).select("id", F.round("score", 6).alias("score"), "first_rank", "second_rank")
+    index = _index(spark, sf_dir)
+    keyword = _ranked(K.bm25(index.documents, QUERY, k=40))
+    return K.fuse(keyword, _near_text(spark, index.vocabulary, index.packed, index.n, QUERY, 40), 10).select("id", F.round("score", 6).alias("score"), "first_rank", "second_rank")
 
 
 def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +199,7 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity
 
 def _bm25_sql(terms: list[str], every: bool) -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
-    return f"""{E}, w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '') || ' ' || coalesce(array_to_string(tags, ' '), '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS w FROM e),
+    return f"""{E}, w AS (SELECT id, regexp_extract_all(lower(strip_accents(coalesce(title, '') || ' ' || coalesce(body, '') || ' ' || coalesce(array_to_string(tags, ' '), ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS w FROM e),
 st AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w), p AS (SELECT id, len(w) AS l, unnest(w) AS t FROM w), f AS (SELECT id, l, t, count(*) AS f FROM p WHERE t IN ({listed}) GROUP BY ALL),
 d AS (SELECT t, count(*) AS df FROM f GROUP BY t),
 b AS (SELECT id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))) AS score FROM f JOIN d USING (t), st GROUP BY id {f'HAVING count(*) = {len(terms)}' if every else ''})"""
