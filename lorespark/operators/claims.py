@@ -9,6 +9,8 @@ from lorespark.functions.text import NEGATIVE_MARKERS, POSITIVE_MARKERS, marker_
 
 #: Margin between the directions from which a text states a claim.
 LEAST_STRENGTH = 2
+#: Entries of one side of a subject that meet the other side at a time.
+BLOCK_SIDE = 5_000
 #: Statuses that take no part in claims and patterns.
 RETIRED = ["superseded", "archived"]
 
@@ -25,22 +27,27 @@ def stated(entries: DataFrame) -> DataFrame:
     return claims(used.where(F.size("subjects") > 0)).where("decisive").select("id", F.explode("subjects").alias("subject"), "net")
 
 
-def firm(entries: DataFrame) -> DataFrame:
+def firm(entries: DataFrame, least_strength: int = LEAST_STRENGTH) -> DataFrame:
     """id, tag, net of the entries of any status that state a claim: one row per tag, scopes too."""
     texts = entries.where(F.size("tags") > 0).select("id", F.array_distinct(F.filter("tags", lambda t: t.isNotNull())).alias("tags"), F.concat_ws(" ", "title", "body").alias("text"))
-    return claims(texts).where("decisive").select("id", F.explode("tags").alias("tag"), "net")
+    return claims(texts).where((F.col("net") != 0) & (F.col("strength") >= least_strength)).select("id", F.explode("tags").alias("tag"), "net")
 
 
 def contradictions(entries: DataFrame) -> DataFrame:
     """subject, id_a, id_b, net_a, net_b (id_a < id_b): entries in use that share a subject and state opposite claims.
 
-    Entries without a firm claim are dropped before the join, and only opposite sides of a subject meet.
+    Entries without a firm claim are dropped before the join, and only opposite sides of a subject meet. The negative side of
+    a subject is cut into blocks of about ``BLOCK_SIDE`` entries, and the positive ones go to each. The pairs are the
+    result; :func:`disputed_subjects` counts the sides without pairing them.
     """
     firm = stated(entries)
-    positive = firm.where("net > 0").select("subject", F.col("id").alias("_p"))
-    negative = firm.where("net < 0").select("subject", F.col("id").alias("_n"))
+    sizes = firm.groupBy("subject").agg(F.count_if(F.col("net") < 0).alias("_k"), F.count_if(F.col("net") > 0).alias("_m")).where("_k > 0 and _m > 0")
+    blocks = sizes.select("subject", F.ceil(F.col("_k") / BLOCK_SIDE).alias("_blocks"))
+    placed = firm.join(blocks, "subject")
+    positive = placed.where("net > 0").select("subject", F.col("id").alias("_p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
+    negative = placed.where("net < 0").select("subject", F.col("id").alias("_n"), F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_block"))
     first = F.col("_p") < F.col("_n")
-    return positive.join(negative, "subject").select(
+    return positive.join(negative, ["subject", "_block"]).select(
         "subject", F.least("_p", "_n").alias("id_a"), F.greatest("_p", "_n").alias("id_b"), F.when(first, 1).otherwise(-1).alias("net_a"), F.when(first, -1).otherwise(1).alias("net_b")
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import subject_tags
 from lorespark.operators.orphans import trimmed
+from lorespark.session import cut_lineage
 
 # Order of the kinds, and the kinds that have no direction or are never pruned.
 KIND_ORDER = ["link", "supersedes", "tag", "semantic", "contradicts", "corroborates", "member"]
@@ -180,6 +181,32 @@ def nodes(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return entries.join(degrees(edges), "id", "left").fillna(0, ["degree"]).fillna(0.0, ["weighted_degree"])
 
 
+def strongest(edges: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` edges of greatest weight; ties by kind in its fixed order, then by the ends."""
+    return edges.orderBy(F.desc("weight"), kind_rank(F.col("kind")), "from_id", "to_id").limit(k)
+
+
+def between(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The edges that join two nodes directly, in either direction."""
+    return edges.where(((F.col("from_id") == a) & (F.col("to_id") == b)) | ((F.col("from_id") == b) & (F.col("to_id") == a)))
+
+
+def legible(ids: DataFrame, edges: DataFrame, max_nodes: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The ``max_nodes`` nodes (id, degree) of greatest degree, ties by id, and the edges whose ends are both among them."""
+    kept = nodes(ids.select("id"), edges).orderBy(F.desc("degree"), "id").limit(max_nodes).select("id", "degree")
+    few = F.broadcast(kept.select("id"))  # ``max_nodes`` ids
+    inside = edges.join(few.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(few.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return kept, inside
+
+
+def omitted(ids: DataFrame, edges: DataFrame, max_nodes: int = 500) -> DataFrame:
+    """One row: nodes and edges kept by :func:`legible`, and how many it leaves out."""
+    kept, inside = legible(ids, edges, max_nodes)
+    counts = [df.agg(F.count("*").alias(n)) for df, n in ((kept, "kept_nodes"), (inside, "kept_edges"), (ids, "n_nodes"), (edges, "n_edges"))]
+    one = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), counts)  # single rows
+    return one.select("kept_nodes", "kept_edges", (F.col("n_nodes") - F.col("kept_nodes")).alias("omitted_nodes"), (F.col("n_edges") - F.col("kept_edges")).alias("omitted_edges"))
+
+
 def graph_summary(n_entries: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges (see :func:`degrees`), density, mean degree, isolated nodes."""
     n = n_entries.agg(F.count("*").alias("n_nodes"))
@@ -189,10 +216,55 @@ def graph_summary(n_entries: DataFrame, edges: DataFrame) -> DataFrame:
     return one.select("n_nodes", "n_edges", F.coalesce(F.col("n_edges") / F.nullif(pairs, F.lit(0.0)), F.lit(0.0)).alias("density"), F.coalesce(2 * F.col("n_edges") / F.nullif(F.col("n_nodes"), F.lit(0)), F.lit(0.0)).alias("mean_degree"), (F.col("n_nodes") - F.col("_used")).alias("n_isolated"))
 
 
-def dot_lines(edges: DataFrame, least: float = 0.0) -> DataFrame:
-    """Lines of a DOT graph, one per edge, to be written as text."""
+def with_components(summary: DataFrame, components: DataFrame) -> DataFrame:
+    """A graph's summary with n_components and the size of the largest; ``components``: id, component."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("_n"))
+    return summary.crossJoin(F.broadcast(sizes.agg(F.count("*").alias("n_components"), F.coalesce(F.max("_n"), F.lit(0)).alias("largest"))))  # single rows
+
+
+def ordinals(ids: DataFrame, column: str = "id") -> DataFrame:
+    """``ids`` (distinct) with ``ordinal``, their place from 0 in order: ids are range-partitioned and numbered within each
+    partition, whose sizes are the only thing that is gathered."""
+    placed = cut_lineage(ids.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    starts = placed.sparkSession.createDataFrame(before, "_p int, _before long")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    return placed.withColumn("_w", within).join(F.broadcast(starts), "_p").withColumn("ordinal", F.col("_before") + F.col("_w")).drop("_p", "_w", "_before")  # one row per partition
+
+
+def _framed(first: str, last: str | None, *parts: DataFrame) -> DataFrame:
+    """part, line: a first line, the parts in order, and a last line."""
+    spark = parts[0].sparkSession
+    ends = [spark.createDataFrame([(0, first)], "part int, line string")] + ([spark.createDataFrame([(len(parts) + 1, last)], "part int, line string")] if last else [])
+    return reduce(DataFrame.unionByName, [*ends, *(p.select(F.lit(i + 1).alias("part"), "line") for i, p in enumerate(parts))])
+
+
+def _quoted(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def dot(nodes_: DataFrame, edges: DataFrame, least: float = 0.0) -> DataFrame:
+    """part, line of a DOT graph: all nodes (id, title), and edges of weight ``least`` or more; a file has the parts in order."""
+    of_nodes = nodes_.select(F.format_string('  "%s" [label="%s"];', _quoted(F.col("id")), _quoted(F.coalesce("title", F.lit("")))).alias("line"))
+    of_edges = edges.where(F.col("weight") >= least).select(F.format_string('  "%s" -> "%s" [label="%s %.2f"];', _quoted(F.col("from_id")), _quoted(F.col("to_id")), F.col("kind"), F.col("weight")).alias("line"))
+    return _framed("digraph vault {", "}", of_nodes, of_edges)
+
+
+def mermaid(nodes_: DataFrame, edges: DataFrame, least: float = 0.0) -> DataFrame:
+    """part, line of a Mermaid graph: nodes named by their place in the order of ids, edges of weight ``least`` or more."""
+    placed = cut_lineage(ordinals(nodes_.select("id", "title")))
+    of_nodes = placed.select(F.format_string('  n%d["%s"]', "ordinal", F.replace(F.coalesce("title", F.lit("")), F.lit('"'), F.lit("'"))).alias("line"))
+    a, b = (placed.select(F.col("id").alias(c), F.col("ordinal").alias(f"_{c}")) for c in ("from_id", "to_id"))
+    of_edges = edges.where(F.col("weight") >= least).join(a, "from_id").join(b, "to_id").select(F.format_string("  n%d -->|%s %.2f| n%d", "_from_id", "kind", "weight", "_to_id").alias("line"))
+    return _framed("graph LR", None, of_nodes, of_edges)
 
-    def quoted(c: str) -> Column:
-        return F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
-    return edges.where(F.col("weight") >= least).select(F.format_string('  "%s" -> "%s" [label="%s %.2f"];', quoted("from_id"), quoted("to_id"), F.col("kind"), F.col("weight")).alias("line"))
+def json_lines(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
+    """part, line: a graph as JSON lines, one object per node (id, title) and per edge."""
+    of_nodes = nodes_.select(F.to_json(F.struct("id", "title")).alias("line"))
+    of_edges = edges.select(F.to_json(F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "kind", "weight")).alias("line"))
+    return of_nodes.select(F.lit(1).alias("part"), "line").unionByName(of_edges.select(F.lit(2).alias("part"), "line"))

@@ -54,7 +54,7 @@ def summary(values: DataFrame, column: str) -> DataFrame:
     totals = values.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("deviation"))
     counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
     # the distinct values are ranked over ranges of values, so no task holds them all
-    bucket = counted.withColumn("_b", F.floor(F.col("v") * 1024))
+    bucket = counted.withColumn("_b", F.least(F.greatest(F.floor(F.col("v") * 1024), F.lit(-1)), F.lit(1024)))  # at most 1026 ranges
     sizes = bucket.groupBy("_b").agg(F.sum("k").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     middle = before.crossJoin(F.broadcast(totals.select("n"))).where("_before <= floor(n / 2) and floor(n / 2) < _before + _n").select("_b", "_before", "n")

@@ -49,9 +49,10 @@ def _over_sets(front: DataFrame, between: DataFrame, members: DataFrame) -> Data
     return sets.unionByName(sets.join(members, sets.id == members["_set"]).select(F.col("_member").alias("id"), "score", "via"))
 
 
-def widest_paths(edges: DataFrame, origin: str, max_rounds: int = 100) -> DataFrame:
+def widest_paths(edges: DataFrame, origin: str, max_rounds: int = 10_000) -> DataFrame:
     """id, bottleneck, hops, via: for every node that can be reached, the greatest least weight on a path from the origin;
-    hops is the length of the path found in rows of ``edges`` (a membership in a tag set is one), and via leads back along it."""
+    hops is the length of the path found in rows of ``edges`` (a membership in a tag set is one), and via leads back along it.
+    It goes on until nothing changes; paths of more than ``max_rounds`` edges raise an error."""
     step = both_ways(edges).groupBy("a", "b").agg(F.max("weight").alias("weight"))
     best = edges.sparkSession.createDataFrame([(origin, 1.0, 0, None)], "id string, bottleneck double, hops int, via string")
     front = best
@@ -64,8 +65,29 @@ def widest_paths(edges: DataFrame, origin: str, max_rounds: int = 100) -> DataFr
         rows = cut_lineage(kept.select("id", "_t.bottleneck", (-F.col("_t._h")).cast("int").alias("hops"), "_t.via", changed.alias("_changed")))
         best, front = rows.drop("_changed"), rows.where("_changed").drop("_changed")
         if front.isEmpty():
+            return best
+    raise ValueError(f"paths are longer than {max_rounds} edges")
+
+
+def route(paths: DataFrame, target: str) -> DataFrame:
+    """place (0 at the origin), id, bottleneck along the widest path to ``target``; no rows if it is not reached.
+
+    ``paths`` as from :func:`widest_paths`. The way back is followed by doubling: each round joins every node with the
+    node twice as far back, and the route's nodes are those met from the target, in as many rounds as its length has bits.
+    """
+    jump = cut_lineage(paths.select("id", "via"))
+    met = cut_lineage(paths.where(F.col("id") == target).select("id", F.lit(0).cast("bigint").alias("back")))
+    span = 1
+    while True:
+        further = met.join(jump, "id").where("via is not null").select(F.col("via").alias("id"), (F.col("back") + span).alias("back"))
+        if further.isEmpty():
             break
-    return best
+        met = cut_lineage(met.unionByName(further))
+        twice = jump.select(F.col("id").alias("via"), F.col("via").alias("_next"))
+        jump = cut_lineage(jump.join(twice, "via", "left").select("id", F.col("_next").alias("via")))
+        span *= 2
+    length = met.agg(F.max("back").alias("_l"))
+    return met.crossJoin(F.broadcast(length)).join(paths.select("id", "bottleneck"), "id").select((F.col("_l") - F.col("back")).alias("place"), "id", "bottleneck")  # single row
 
 
 def components(ids: DataFrame, edges: DataFrame, least: float = 0.0, max_rounds: int = 60) -> DataFrame:
@@ -83,6 +105,8 @@ def components(ids: DataFrame, edges: DataFrame, least: float = 0.0, max_rounds:
         pairs = small
         if same:
             break
+    else:
+        raise ValueError(f"components did not settle in {max_rounds} rounds")
     return ids.select("id").distinct().join(pairs.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("id", F.coalesce("_c", "id").alias("component"))
 
 

@@ -17,7 +17,7 @@ from lorespark.operators.copies import earliest_copy
 from lorespark.plans.vault import full_graph
 from lorespark.queries.base import E, captures, entries
 from lorespark.queries.base import C as CAPTURES
-from lorespark.queries.retrieval import _NEAR, DIMENSIONS, _space, asked, neighbours
+from lorespark.queries.retrieval import _NEAR, _VECTORS, DIMENSIONS, _space, asked, neighbours
 from lorespark.session import cut_lineage, table
 
 
@@ -87,8 +87,9 @@ def edges_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_corroborating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firm = cut_lineage(C.firm(_e(spark, sf_dir)))
-    return G.corroborations(firm, cut_lineage(_space(spark, sf_dir)[2]), 0.02, DIMENSIONS).select("from_id", "to_id", F.round("weight", 6).alias("weight"), "evidence")
+    """Entries that share a tag and lean the same way (a margin of one marker) with a cosine of 0.15."""
+    firm = cut_lineage(C.firm(_e(spark, sf_dir), 1))
+    return G.corroborations(firm, cut_lineage(_space(spark, sf_dir)[2]), 0.15, DIMENSIONS).select("from_id", "to_id", F.round("weight", 6).alias("weight"), "evidence")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,7 @@ def full_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dot_lines(graph_edges(spark, sf_dir))
+    return G.dot(_e(spark, sf_dir), graph_edges(spark, sf_dir))
 
 
 def full_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +151,50 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = G.graph_summary(_e(spark, sf_dir).select("id"), declared(spark, sf_dir))
-    return s.select("n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("mean_degree", 6).alias("mean_degree"), "n_isolated")
+    edges, ids = declared(spark, sf_dir), _e(spark, sf_dir).select("id")
+    s = G.with_components(G.graph_summary(ids, edges), T.components(ids, edges))
+    return s.select("n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("mean_degree", 6).alias("mean_degree"), "n_isolated", "n_components", "largest")
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared edges, links at half the weight of versions."""
+    return declared(spark, sf_dir).withColumn("weight", F.when(F.col("kind") == "link", 0.5).otherwise(0.8))
 
 
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dot_lines(declared(spark, sf_dir))
+    return G.dot(_e(spark, sf_dir), _weighted(spark, sf_dir), 0.6)
+
+
+def graph_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.mermaid(_e(spark, sf_dir), _weighted(spark, sf_dir))
+
+
+def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.json_lines(_e(spark, sf_dir), _weighted(spark, sf_dir))
+
+
+def strongest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = G.tag_set_edges(cut_lineage(G.tag_sets(_e(spark, sf_dir)))).select(F.col("first_a").alias("from_id"), F.col("first_b").alias("to_id"), F.lit("tag").alias("kind"), "weight")
+    return G.strongest(tag.unionByName(_weighted(spark, sf_dir).drop("evidence")), 40).select("from_id", "to_id", "kind", F.round("weight", 6).alias("weight"))
+
+
+def legible_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.omitted(_e(spark, sf_dir).select("id"), declared(spark, sf_dir), 100)
+
+
+def edges_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that joins the entry with most declared edges and the first of its neighbours."""
+    edges = _weighted(spark, sf_dir)
+    origin = _origin(edges)
+    other = T.both_ways(edges).where(F.col("a") == origin).agg(F.min("b")).first()[0] or ""
+    return G.between(edges, origin, other).select("from_id", "to_id", "kind", "weight")
+
+
+def widest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest path from the entry with most declared edges to the greatest id that it reaches."""
+    edges = _weighted(spark, sf_dir)
+    paths = cut_lineage(T.widest_paths(edges, _origin(edges)))
+    return T.route(paths, paths.agg(F.max("id")).first()[0])
 
 
 def _origin(edges: DataFrame) -> str:
@@ -164,8 +203,8 @@ def _origin(edges: DataFrame) -> str:
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hops over declared edges, all of weight 1, around the entry that has most of them."""
-    edges = declared(spark, sf_dir)
+    """Two hops over declared edges, links of weight 0.5 and versions of 0.8, around the entry that has most of them."""
+    edges = _weighted(spark, sf_dir)
     return T.neighbourhood(edges, _origin(edges), 2).select("id", F.round("score", 6).alias("score"), "depth")
 
 
@@ -253,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         entry_claims, capture_claims, contradictions, disputed_subjects, patterns, pattern_members, monthly_reflection, edges_declared, tag_sets, tag_members, edges_tag, edges_semantic, edges_corroborating, edges_pruned, edge_counts, node_degrees, hubs,
-        full_degrees, full_hubs, full_summary, full_dot, full_neighbourhood, full_widest_paths, full_components, full_component_sizes, graph_summary, graph_dot, neighbourhood, widest_paths, components, component_sizes, entry_topics, topics, title_token_df, topic_keywords, topic_satellites, tag_vocabulary, canonical_tags, extracted_captures,
+        graph_mermaid, graph_json, strongest_edges, legible_graph, edges_between, widest_route, full_degrees, full_hubs, full_summary, full_dot, full_neighbourhood, full_widest_paths, full_components, full_component_sizes, graph_summary, graph_dot, neighbourhood, widest_paths, components, component_sizes, entry_topics, topics, title_token_df, topic_keywords, topic_satellites, tag_vocabulary, canonical_tags, extracted_captures,
         capture_deliveries, queue_states, related_entries, session_states, session_turns,
     )
 }
@@ -297,6 +336,7 @@ topic AS (SELECT * FROM nm UNION ALL SELECT rs.id, coalesce(tag, kind), CASE WHE
 _VOCAB = f"{E}, us AS (SELECT DISTINCT id, trim(t) AS tag FROM (SELECT id, unnest(tags) AS t FROM e) WHERE t IS NOT NULL AND trim(t) <> ''), sp AS (SELECT lower(tag) AS folded, tag, count(*) AS n FROM us GROUP BY ALL), vo AS (SELECT folded, sum(n)::BIGINT AS n, arg_min(tag, (-n, tag)) AS canonical, count(*) AS n_spellings FROM sp GROUP BY folded)"
 _EDGES = f"{_NEAR}, se AS (SELECT least(query_id, id) AS from_id, greatest(query_id, id) AS to_id, max(similarity) AS weight FROM near GROUP BY ALL)"
 
+_QUOTE = """replace(replace(coalesce(title, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"')"""
 SQL = {
     "entry_claims": f"WITH {E}, {_claims('SELECT id, lower(concat_ws(chr(32), title, body)) AS tx FROM e')} SELECT id, positive, negative, net, strength, decisive FROM cl",
     "capture_claims": f"WITH {CAPTURES}, {_claims('SELECT id, lower(coalesce(input.outcome, chr(32))) AS tx FROM c')} SELECT net, strength, count(*) AS n FROM cl GROUP BY ALL",
@@ -312,9 +352,15 @@ SQL = {
     "edges_pruned": f"WITH {_EDGES}, en AS (SELECT from_id AS x, * FROM se UNION ALL SELECT to_id, * FROM se), rk AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY weight DESC, from_id, to_id) AS r FROM en) SELECT from_id, to_id FROM rk WHERE r <= 4 GROUP BY ALL HAVING count(*) = 2",
     "node_degrees": f"WITH {_DECL} SELECT e.id, coalesce(degree, 0) AS degree, coalesce(degree, 0)::DOUBLE AS weighted_degree FROM e LEFT JOIN deg ON deg.id = e.id",
     "hubs": f"WITH {_DECL} SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10",
-    "graph_summary": f"WITH {_DECL}, k AS (SELECT (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM decl) AS m, (SELECT count(*) FROM deg) AS u) SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1) / 2), 9) AS density, round(2 * m / n, 6) AS mean_degree, n - u AS n_isolated FROM k",
-    "graph_dot": f"""WITH {_DECL} SELECT '  "' || from_id || '" -> "' || to_id || '" [label="' || kind || ' 1.00"];' AS line FROM decl""",
-    "neighbourhood": f"WITH {_DECL}, o AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), h1 AS (SELECT DISTINCT b AS id FROM a WHERE a = (SELECT id FROM o)), h2 AS (SELECT DISTINCT b AS id FROM a JOIN h1 ON a.a = h1.id) SELECT id, 1.0::DOUBLE AS score, min(depth)::INT AS depth FROM (SELECT id, 1 AS depth FROM h1 UNION ALL SELECT id, 2 FROM h2) WHERE id <> (SELECT id FROM o) GROUP BY id",
+    "graph_summary": f"WITH RECURSIVE {_DECL}, a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), r(id, root) AS (SELECT id, id FROM e UNION SELECT a.b, r.root FROM r JOIN a ON a.a = r.id), cs AS (SELECT c, count(*) AS size FROM (SELECT id, min(root) AS c FROM r GROUP BY id) GROUP BY c), k AS (SELECT (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM decl) AS m, (SELECT count(*) FROM deg) AS u) SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1) / 2), 9) AS density, round(2 * m / n, 6) AS mean_degree, n - u AS n_isolated, (SELECT count(*) FROM cs) AS n_components, (SELECT max(size) FROM cs) AS largest FROM k",
+    "graph_dot": f"""WITH {_DECL} SELECT 0 AS part, 'digraph vault {{' AS line UNION ALL SELECT 1, '  "' || id || '" [label="' || {_QUOTE} || '"];' FROM e UNION ALL SELECT 2, '  "' || from_id || '" -> "' || to_id || '" [label="' || kind || ' 0.80"];' FROM decl WHERE kind = 'supersedes' UNION ALL SELECT 3, '}}'""",
+    "graph_mermaid": f"""WITH {_DECL}, o AS (SELECT id, title, row_number() OVER (ORDER BY id) - 1 AS k FROM e) SELECT 0 AS part, 'graph LR' AS line UNION ALL SELECT 1, '  n' || k || '["' || replace(coalesce(title, ''), '"', chr(39)) || '"]' FROM o UNION ALL SELECT 2, '  n' || a.k || ' -->|' || kind || CASE WHEN kind = 'link' THEN ' 0.50' ELSE ' 0.80' END || '| n' || b.k FROM decl JOIN o a ON a.id = from_id JOIN o b ON b.id = to_id""",
+    "graph_json": f"""WITH {_DECL} SELECT 1 AS part, json_object('id', id, 'title', title)::VARCHAR AS line FROM e UNION ALL SELECT 2, json_object('from', from_id, 'to', to_id, 'kind', kind, 'weight', CASE WHEN kind = 'link' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END)::VARCHAR FROM decl""",
+    "strongest_edges": f"WITH {_DECL}, {_SETS.removeprefix(E + ', ')}, g AS (SELECT a.first_id AS from_id, b.first_id AS to_id, 'tag' AS kind, len(list_intersect(a.subjects, b.subjects)) / len(list_distinct(list_concat(a.subjects, b.subjects))) AS weight FROM ts a JOIN ts b ON a.first_id < b.first_id AND list_has_any(a.subjects, b.subjects) UNION ALL SELECT from_id, to_id, kind, CASE WHEN kind = 'link' THEN 0.5 ELSE 0.8 END FROM decl) SELECT from_id, to_id, kind, round(weight, 6) AS weight FROM g WHERE weight >= 0.34 - 1e-9 ORDER BY g.weight DESC, list_position(['link', 'supersedes', 'tag'], kind), from_id, to_id LIMIT 40",
+    "legible_graph": f"WITH {_DECL}, k AS (SELECT e.id FROM e LEFT JOIN deg ON deg.id = e.id ORDER BY coalesce(degree, 0) DESC, e.id LIMIT 100), i AS (SELECT count(*) AS n FROM decl WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k)) SELECT (SELECT count(*) FROM k) AS kept_nodes, n AS kept_edges, (SELECT count(*) FROM e) - (SELECT count(*) FROM k) AS omitted_nodes, (SELECT count(*) FROM decl) - n AS omitted_edges FROM i",
+    "edges_between": f"WITH {_DECL}, o AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), n AS (SELECT min(CASE WHEN from_id = o.id THEN to_id ELSE from_id END) AS n FROM decl, o WHERE from_id = o.id OR to_id = o.id) SELECT from_id, to_id, kind, CASE WHEN kind = 'link' THEN 0.5 ELSE 0.8 END::DOUBLE AS weight FROM decl, o, n WHERE (from_id = o.id AND to_id = n.n) OR (to_id = o.id AND from_id = n.n)",
+    "edges_corroborating": f"WITH {_VECTORS}, {_claims('SELECT id, tags, lower(concat_ws(chr(32), title, body)) AS tx FROM e')}, fm AS (SELECT DISTINCT id, net, unnest(tags) AS tag FROM cl WHERE net <> 0), pr AS (SELECT a.id AS from_id, b.id AS to_id, min(a.tag) AS tag FROM fm a JOIN fm b ON a.tag = b.tag AND a.net = b.net AND a.id < b.id GROUP BY ALL), cs AS (SELECT from_id, to_id, tag, sum(a.w * b.w) AS weight FROM pr JOIN vec a ON a.id = from_id JOIN vec b ON b.id = to_id AND b.dim = a.dim GROUP BY ALL HAVING sum(a.w * b.w) >= 0.15) SELECT from_id, to_id, round(weight, 6) AS weight, 'same claim on ' || tag AS evidence FROM cs",
+    "neighbourhood": f"WITH {_DECL}, o AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), a AS (SELECT a, b, max(w) AS w FROM (SELECT from_id AS a, to_id AS b, CASE WHEN kind = 'link' THEN 0.5 ELSE 0.8 END::DOUBLE AS w FROM decl UNION ALL SELECT to_id, from_id, CASE WHEN kind = 'link' THEN 0.5 ELSE 0.8 END::DOUBLE FROM decl) GROUP BY a, b), h1 AS (SELECT b AS id, w FROM a WHERE a = (SELECT id FROM o)), h2 AS (SELECT b AS id, h1.w * a.w AS w FROM a JOIN h1 ON a.a = h1.id), u AS (SELECT id, w, 1 AS depth FROM h1 UNION ALL SELECT id, w, 2 FROM h2) SELECT id, round(w, 6) AS score, depth::INT AS depth FROM u WHERE id <> (SELECT id FROM o) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, depth) = 1",
     "components": f"WITH RECURSIVE {_DECL}, a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), r(id, root) AS (SELECT id, id FROM e UNION SELECT a.b, r.root FROM r JOIN a ON a.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id",
     "widest_paths": f"WITH RECURSIVE {_DECL}, o AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), a AS (SELECT from_id AS a, to_id AS b, kind FROM decl UNION SELECT to_id, from_id, kind FROM decl), r1(id) AS (SELECT id FROM o UNION SELECT b FROM r1 JOIN a ON a = id AND kind = 'supersedes'), r2(id) AS (SELECT id FROM o UNION SELECT b FROM r2 JOIN a ON a = id) SELECT id, CASE WHEN id IN (SELECT id FROM r1) THEN 1.0 ELSE 0.5 END::DOUBLE AS bottleneck FROM r2",
     "component_sizes": f"WITH RECURSIVE {_DECL}, a AS (SELECT from_id AS a, to_id AS b FROM decl UNION SELECT to_id, from_id FROM decl), r(id, root) AS (SELECT id, id FROM e UNION SELECT a.b, r.root FROM r JOIN a ON a.a = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), k AS (SELECT component, count(*) AS size FROM c GROUP BY component) SELECT size, count(*) AS n_components FROM k GROUP BY size",

@@ -9,7 +9,7 @@ from lorespark.operators import keyword as K
 from lorespark.operators import maintain as M
 from lorespark.operators.copies import earliest_copy
 from lorespark.operators.curate import EVIDENCE
-from lorespark.queries.base import C, E, captures, entries
+from lorespark.queries.base import C, E, captures, entries, now
 from lorespark.queries.retrieval import _bm25_sql, _indexed, _ranked
 from lorespark.session import table
 
@@ -37,7 +37,23 @@ def entry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.difference(captures(spark, sf_dir).select("id"), _items(spark, sf_dir).select("id"))
+    """Captures and queue items that lack the other, by id and the entry a review made of them."""
+    made = _items(spark, sf_dir).select("id", "entry_id")
+    return M.difference(captures(spark, sf_dir).select("id", F.lit(None).cast("string").alias("entry_id")), made)
+
+
+def created_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that the candidates of the queue would make."""
+    drafts = _items(spark, sf_dir).where("candidate.knowledge is not null").select("candidate.knowledge.*", F.lit("queue").alias("source_agent"))
+    return M.created(drafts, now()).select("id", "kind", "title", "confidence", F.length("body").alias("body_chars"), "path")
+
+
+def superseded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries after every version that one side declares has been declared by both."""
+    e = entries(spark, sf_dir, "status", "supersedes", "superseded_by", "links", "updated")
+    pairs = M.versions(e).select("old_id", "new_id")
+    out = M.superseded(e, pairs, now())
+    return out.select("id", "status", "superseded_by", F.size("supersedes").alias("n_supersedes"), F.size("links").alias("n_links"), F.unix_micros("updated").alias("updated"))
 
 
 def vault_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +77,7 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.prompt_context(hits, entries(spark, sf_dir, "status", "title", "body"))
 
 
-QUERIES = {f.__name__: f for f in (import_plan, patched_entries, entry_versions, queue_difference, vault_fingerprint, candidate_lookup, entry_review, keyword_snippets, prompt_context)}
+QUERIES = {f.__name__: f for f in (created_entries, superseded_entries, import_plan, patched_entries, entry_versions, queue_difference, vault_fingerprint, candidate_lookup, entry_review, keyword_snippets, prompt_context)}
 
 _I = "i AS (SELECT * FROM queue_items QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)"
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -73,7 +89,15 @@ SELECT draft_id, h.id AS entry_id, CASE WHEN trim(coalesce(x.title, '')) = '' OR
 SELECT id, coalesce(p.x.title, title) AS title, coalesce(p.x.kind, kind) AS kind, coalesce(p.x.confidence, confidence) AS confidence, epoch_us(CASE WHEN p.x.confidence IS NOT NULL THEN p.updated_at ELSE last_verified END) AS last_verified FROM e LEFT JOIN p ON p.entry_id = id""",
     "entry_versions": f"""WITH {E}, n AS (SELECT DISTINCT {_TRIM.format('s')} AS old_id, id AS new_id FROM (SELECT id, unnest(supersedes) AS s FROM e) WHERE {_TRIM.format('s')} <> ''), o AS (SELECT DISTINCT id AS old_id, {_TRIM.format('superseded_by')} AS new_id FROM e WHERE {_TRIM.format('superseded_by')} <> '')
 SELECT old_id, new_id, o.old_id IS NOT NULL AS said_by_old, n.old_id IS NOT NULL AS said_by_new FROM n FULL JOIN o USING (old_id, new_id)""",
-    "queue_difference": f"WITH {C}, {_I} SELECT id, 'left' AS side FROM c WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT id, 'right' FROM i WHERE id NOT IN (SELECT id FROM c)",
+    "queue_difference": f"WITH {C}, {_I}, a AS (SELECT id, NULL::VARCHAR AS entry_id FROM c), b AS (SELECT id, entry_id FROM i) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
+    "created_entries": f"""WITH {_I}, d AS (SELECT candidate.knowledge AS x FROM i WHERE trim(coalesce(candidate.knowledge.title, '')) <> '' AND trim(coalesce(candidate.knowledge.content, '')) <> ''), h AS (SELECT x, sha256(concat_ws(chr(31), x.title, x.content, '20260101')) AS h FROM d QUALIFY row_number() OVER (PARTITION BY h ORDER BY x) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY left(h, 6) ORDER BY h) AS n FROM h), k AS (SELECT *, 'mem-20260101-' || left(h, CASE WHEN n > 1 THEN 12 ELSE 6 END) AS id FROM n)
+SELECT id, x.kind AS kind, x.title AS title, coalesce(x.confidence, 0.5) AS confidence, length('# ' || x.title || chr(10) || chr(10) || x.content)::INT AS body_chars, x.kind || '/' || id || '.md' AS path FROM k""",
+    "superseded_entries": f"""WITH {E}, v AS (SELECT {_TRIM.format('s')} AS o, id AS n FROM (SELECT id, unnest(supersedes) AS s FROM e) UNION SELECT id, {_TRIM.format('superseded_by')} FROM e), p AS (SELECT o, min(n) AS n FROM v WHERE o <> '' AND n <> '' AND o <> n GROUP BY o), q AS (SELECT * FROM p WHERE o IN (SELECT id FROM e) AND n IN (SELECT id FROM e)),
+w AS (SELECT n, list(o) AS os FROM q GROUP BY n)
+SELECT e.id, CASE WHEN q.n IS NOT NULL THEN 'superseded' ELSE status END AS status, coalesce(q.n, superseded_by) AS superseded_by, CASE WHEN os IS NULL THEN len(supersedes) ELSE len(list_distinct(list_concat(coalesce(supersedes, []), os))) + coalesce(list_contains(list_transform(supersedes, lambda x: x IS NULL), true), false)::INT END::INT AS n_supersedes,
+CASE WHEN os IS NULL THEN len(links) ELSE len(list_distinct(list_concat(coalesce(links, []), os))) + coalesce(list_contains(list_transform(links, lambda x: x IS NULL), true), false)::INT END::INT AS n_links, epoch_us(CASE WHEN q.n IS NOT NULL OR os IS NOT NULL THEN TIMESTAMPTZ '2026-01-01 00:00:00+00' ELSE updated END) AS updated
+FROM e LEFT JOIN q ON q.o = e.id LEFT JOIN w ON w.n = e.id""",
     "vault_fingerprint": f"WITH {E} SELECT count(*) AS n, (sum(('0x' || substring(sha256(concat_ws(chr(31), id, coalesce(kind, chr(0)), coalesce(title, chr(0)), coalesce(status, chr(0)), coalesce(body, chr(0)))), 1, 15))::HUGEINT) % 1152921504606846976)::BIGINT AS mark FROM e",
     "candidate_lookup": f"WITH {E}, {_I}, l AS (SELECT id, unnest(candidate.related_entries[1:10]) AS entry_id, generate_subscripts(candidate.related_entries[1:10], 1) - 1 AS place FROM i) SELECT l.id, place::INT AS place, entry_id, left(e.title, 256) AS title, left(e.body, 2000) AS body FROM l JOIN e ON e.id = entry_id",
     "entry_review": f"WITH {E}, r AS (SELECT id, coalesce(regexp_matches(body, '{EVIDENCE}'), false) AS v, length(trim(coalesce(body, ''))) < 120 AND coalesce(len(tags), 0) = 0 AS p FROM e) SELECT id, v AS has_evidence, CASE WHEN v THEN 0.65 ELSE 0.5 END::DOUBLE AS proposed_confidence, p AS placeholder FROM r",

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters of prompts and responses kept from a log.
-PROMPT_CHARS, RESPONSE_CHARS = 8_000, 24_000
 # Headings of sections that hold reusable notes.
-NOTE_SECTIONS = ["preference", "reusable knowledge", "knowledge", "failure", "general tip", "key step", "lesson"]
+NOTE_SECTIONS = ["preference", "reusable knowledge", "failure", "general tip", "key step", "lesson"]
 
 
 def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """path, place, line of the files below ``root``; a file is one value, split where it is read."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("place", "line")).where("trim(line) <> ''")
+    """path, place, line of the files below ``root``; a file is one value, split where it is read. Files that end in .zst are
+    decompressed first."""
+    if pattern.endswith(".zst"):
+        packed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+        files = packed.select("path", _unzstd("content").alias("value"))
+    else:
+        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.select("path", F.posexplode(F.split("value", "\n")).alias("place", "line")).where("trim(line) <> ''")
+
+
+@F.pandas_udf("string")
+def _unzstd(content: pd.Series) -> pd.Series:
+    import zstandard
+
+    return content.map(lambda b: None if b is None else zstandard.ZstdDecompressor().stream_reader(b, read_across_frames=True).read().decode("utf-8", "replace"))
+
+
+def task_log_lines(sessions: DataFrame) -> DataFrame:
+    """path, place, line: sessions (session_id, project, turns) as logs that :func:`parse_task_logs` reads, one path each."""
+    event = lambda sub, **more: F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit(sub).alias("type"), *[v.alias(n) for n, v in more.items()]).alias("payload")))
+    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("session_id").alias("id"), F.col("project").alias("cwd")).alias("payload")))
+    of_turn = lambda t: F.array(event("task_started", turn_id=t["id"]), event("user_message", message=t["prompt"]), event("task_complete", turn_id=t["id"], last_agent_message=t["response"]))
+    rows = F.concat(F.array(meta), F.flatten(F.transform(F.coalesce("turns", F.array().cast(sessions.schema["turns"].dataType)), of_turn)))
+    return sessions.select(F.concat(F.col("session_id"), F.lit(".jsonl")).alias("path"), F.posexplode(rows).alias("place", "line"))
 
 
 def _get(column: str, path: str) -> Column:
@@ -28,8 +48,14 @@ def _content(column: str, path: str) -> Column:
     return F.coalesce(F.array_join(texts, "\n"), F.get_json_object(column, path), F.lit(""))
 
 
+def shortened(turns: DataFrame, prompt_chars: int = 8_000, response_chars: int = 24_000) -> DataFrame:
+    """``turns`` with prompts and responses cut to so many characters, for prompts to a model."""
+    return turns.withColumn("prompt", F.left("prompt", F.lit(prompt_chars))).withColumn("response", F.left("response", F.lit(response_chars)))
+
+
 def _turns(events: DataFrame) -> DataFrame:
-    """path, turn_no, id, prompt, response from events with started, turn, prompt, response, done columns (null or value).
+    """path, turn_no, id, prompt, response (whole) from events with started, turn, prompt, response, done columns (null or
+    value).
 
     A turn reaches from one start to the next; it counts once it ends with a response.
     """
@@ -42,7 +68,7 @@ def _turns(events: DataFrame) -> DataFrame:
         F.max("done").alias("done"),
     )
     whole = (F.col("done") == "completed") & (F.trim(F.coalesce("response", F.lit(""))) != "") & (F.coalesce("id", F.lit("")) != "")
-    return per.where(whole).select("path", "turn_no", "id", F.left(F.coalesce("prompt", F.lit("")), F.lit(PROMPT_CHARS)).alias("prompt"), F.left("response", F.lit(RESPONSE_CHARS)).alias("response"))
+    return per.where(whole).select("path", "turn_no", "id", F.coalesce("prompt", F.lit("")).alias("prompt"), "response")
 
 
 def parse_task_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
