@@ -24,6 +24,8 @@ from lorespark.session import cut_lineage
 KIND_ORDER = ["link", "supersedes", "tag", "semantic", "contradicts", "corroborates", "member"]
 SYMMETRIC = ["tag", "semantic", "contradicts", "corroborates"]
 LOAD_BEARING = ["link", "supersedes", "contradicts", "member"]
+#: Sets of one tag that meet others at a time.
+BLOCK_SETS = 2_000
 #: Entries of one claim that are compared at a time: with 8192 dimensions 16 MB.
 BLOCK_CLAIMS = 256
 
@@ -63,18 +65,26 @@ def member_edges(members: DataFrame) -> DataFrame:
 def tag_set_edges(sets: DataFrame, least: float = 0.34) -> DataFrame:
     """first_a, first_b, weight, shared: pairs of distinct subject sets with a Jaccard similarity of ``least`` or more.
 
-    Sets meet on their rarest tags only: of n tags, the n - ceil(least * n) + 1 rarest are enough to find every pair. Entries
-    of the same set are its members (see :func:`tag_sets`), not pairs.
+    Sets meet on their rarest tags only: of n tags, the n - ceil(least * n) + 1 rarest are enough to find every pair. The
+    sets of a popular tag are cut into blocks of about ``BLOCK_SETS``, and pairs of blocks are spread over the tasks; a pair
+    comes out of the first tag that brings it together, so none is sent twice. Entries of the same set are its members
+    (see :func:`tag_sets`), not pairs.
     """
     df = sets.select(F.explode("subjects").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     keyed = sets.select("first_id", "subjects", F.explode("subjects").alias("t")).join(df, "t")
     ordered = keyed.groupBy("first_id", "subjects").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("rare"))
     n = F.size("subjects")
-    prefix = ordered.select("first_id", "subjects", F.explode(F.slice("rare", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias("t"))
-    a = prefix.select("t", F.col("first_id").alias("first_a"), F.col("subjects").alias("_a"))
-    b = prefix.select("t", F.col("first_id").alias("first_b"), F.col("subjects").alias("_b"))
+    prefix = ordered.withColumn("rare", F.slice("rare", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).select("first_id", "subjects", "rare", F.explode("rare").alias("t"))
+    sizes = prefix.groupBy("t").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("_n"))
+    own = F.pmod(F.xxhash64("first_id"), F.col("_n"))
+    met = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    sent = prefix.join(sizes, "t").select("t", "first_id", "subjects", "rare", own.alias("_own"), F.inline(met))
+    a = sent.where("_own = i").select("t", "i", "j", F.col("first_id").alias("_x"), F.col("subjects").alias("_a"), F.col("rare").alias("_ra"))
+    b = sent.where("_own = j").select("t", "i", "j", F.col("first_id").alias("_y"), F.col("subjects").alias("_b"), F.col("rare").alias("_rb"))
     sized = F.least(F.size("_a"), F.size("_b")) >= F.lit(least) * F.greatest(F.size("_a"), F.size("_b")) - 1e-9
-    pairs = a.join(b, "t").where((F.col("first_a") < F.col("first_b")) & sized).select("first_a", "first_b", "_a", "_b").distinct()
+    once = F.array_intersect("_ra", "_rb")[0] == F.col("t")  # the first tag in the common order of the prefixes
+    each = (F.col("i") < F.col("j")) | (F.col("_x") < F.col("_y"))
+    pairs = a.join(b, ["t", "i", "j"]).where(each & sized & once).select(F.least("_x", "_y").alias("first_a"), F.greatest("_x", "_y").alias("first_b"), "_a", "_b")
     shared = F.array_sort(F.array_intersect("_a", "_b"))
     weight = F.size(shared) / F.size(F.array_union("_a", "_b"))
     return pairs.select("first_a", "first_b", weight.alias("weight"), F.array_join(shared, ", ").alias("shared")).where(F.col("weight") >= least - 1e-9)

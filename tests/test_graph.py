@@ -78,11 +78,15 @@ def test_declared_edges_drop_unknown_and_own_targets(spark):
     assert {(r["from_id"], r["to_id"], r["kind"]) for r in G.declared_edges(e).collect()} == {("a", "b", "link"), ("a", "b", "supersedes"), ("b", "a", "supersedes")}
 
 
-def test_tag_set_edges_equal_all_pairs(spark):
+@pytest.mark.parametrize("block", [2000, 3])
+def test_tag_set_edges_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(G, "BLOCK_SETS", block)
     rng = random.Random(3)
     rows = [(f"e{i:03}", [rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))] + ["scope:x"]) for i in range(60)]
     sets = G.tag_sets(spark.createDataFrame(rows, "id string, tags array<string>"))
-    got = {(r["first_a"], r["first_b"]) for r in G.tag_set_edges(sets).collect()}
+    pairs = [(r["first_a"], r["first_b"]) for r in G.tag_set_edges(sets).collect()]
+    got = set(pairs)
+    assert len(got) == len(pairs)
     first = {}
     for i, t in rows:
         first.setdefault(frozenset(x for x in t if ":" not in x), i)
