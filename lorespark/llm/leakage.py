@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorespark.llm.staging import staged
 from lorespark.llm.words import flat_lists, windows, word_hashes, words
 
 #: n-grams of items that one broadcast table holds (16 bytes each).
@@ -87,6 +88,9 @@ def leaked_windows(documents: DataFrame, items: DataFrame, n: int = 13, doc_id:
         held = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text")
         tabled = spark.sparkContext.broadcast(_item_grams(held, n))
         hit = prepared.mapInArrow(_scanner(tabled, n), out)
+        if blocks > 1:  # one table is held at a time
+            hit = staged(hit)
+            tabled.unpersist()
         own = hit.withColumn("_own", words(F.col(text))).withColumn("leaked", F.explode("_hits")).withColumn("_own", F.slice("_own", F.col("leaked.at"), n))
         texts = F.broadcast(held.select(F.col("item_id").alias("_item"), words(F.col("text")).alias("_words")))  # one block of items
         same = (F.col("leaked.item_id") == F.col("_item")) & (F.slice("_words", F.col("leaked.item_at"), n) == F.col("_own"))

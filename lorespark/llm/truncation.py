@@ -2,9 +2,11 @@
 
 Every value is reduced to a few facts on its length and its end (no text is shuffled). Per source and field, the histogram
 of lengths, in characters and in bytes, is tested for spikes at its maximum, or at what is the maximum once few longer
-values are peeled off: a limit leaves many values of exactly that length where the lengths below it are sparse. A value at a spike length without terminal punctuation is cut. Elsewhere a
-value is cut if it ends with a mark of the cut, inside a character, inside an open code block, or inside a word or
-sentence; a closing block, list, path or command line, a text that trails off on purpose and a short request are whole.
+values are peeled off: a limit leaves many values of exactly that length where the lengths below it are sparse. A value
+at a spike length is cut unless it ends with terminal punctuation, trails off on purpose or closes with a path, item or
+command whose last piece is common. Elsewhere a value is cut if it ends with a mark of the cut, inside a character,
+inside an open code block, or inside a word or sentence; a closing block, list, path or command line, a text that trails
+off on purpose and a short request are whole.
 Whether a closing path or command is complete is read from the closings of all values: an extension or name that is a rare
 beginning of a common one is not.
 """
@@ -68,8 +70,8 @@ def end_facts(values: DataFrame) -> DataFrame:
         F.length("text").alias("n_chars"),
         F.octet_length(sound).alias("n_bytes"),
         (F.col("t").rlike(_MARK) | (ellipsis & ~trails & F.col("t").rlike(r"\S(?:…|\.\.\.)$")) | F.col("t").endswith("�") | (fences % 2 == 1)).alias("marked"),
-        ((F.col("line") == "```") | (F.col("t").rlike(_TERMINAL) & ~ellipsis & ~F.col("t").rlike(_STEM))).alias("terminal"),
-        (trails | ellipsis | request).alias("closed"),
+        ((F.col("line") == "```") | (F.col("t").rlike(_TERMINAL) & ~ellipsis & ~F.col("t").rlike(_STEM)) | trails).alias("terminal"),
+        (ellipsis | request).alias("closed"),
         closing["kind"].alias("kind"),
         closing["piece"].alias("piece"),
     )
@@ -114,8 +116,9 @@ def judged_values(values: DataFrame) -> DataFrame:
     at_limit = F.array_contains("chars_limits", F.col("n_chars").cast("bigint")) | F.exists("bytes_limits", cut_in_bytes)
     common = F.coalesce("common", F.array().cast("array<string>"))
     begun = ~F.array_contains(common, F.col("piece")) & F.exists(common, lambda c: c.startswith(F.col("piece")))
+    usual = F.col("kind").isNotNull() & F.array_contains(common, F.col("piece"))
     complete = F.col("kind").isNotNull() & (F.col("piece") != "") & ~begun
-    cut = F.col("marked") | (~F.col("terminal") & (F.coalesce(at_limit, F.lit(False)) | ~(F.col("closed") | F.coalesce(complete, F.lit(False)))))
+    cut = F.col("marked") | (~F.col("terminal") & ((F.coalesce(at_limit, F.lit(False)) & ~F.coalesce(usual, F.lit(False))) | ~(F.col("closed") | F.coalesce(complete, F.lit(False)))))
     return (
         facts.join(small(staged(limits)), ["source_table", "source", "field_name"], "left")
         .join(known, "kind", "left")

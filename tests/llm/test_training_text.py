@@ -72,6 +72,14 @@ def test_a_limit_shows_as_a_spike(spark):
     assert C.length_spikes(C.end_facts(values(spark, few))).isEmpty()
 
 
+def test_whole_values_at_a_limit_stay_whole(spark):
+    pad = lambda t: t.rjust(90, "x")
+    rows = [("t", f"s{i}", "", "response", "host", "word " * (3 + i % 9) + "ends.\n\nSee docs/a.md") for i in range(40)]
+    rows += [("t", f"l{i}", "", "response", "host", pad(" this is cut in the middle of a wo")) for i in range(9)]
+    rows += [("t", "path", "", "response", "host", pad(" it is done.\n\nSee docs/guide.md")), ("t", "trails", "", "response", "host", pad(" we tried the others, and so on …")), ("t", "begun", "", "response", "host", pad(" it is done.\n\nSee docs/guide.m"))]
+    assert cut(spark, rows) == {f"l{i}" for i in range(9)} | {"begun"}
+
+
 def test_rates(spark):
     rows = [("t", f"{i}", "", "response", "A" if i % 2 else "a ", "Fine." if i < 8 else "Not fi") for i in range(10)]
     r = C.truncation_rates(C.judged_values(values(spark, rows))).first()
