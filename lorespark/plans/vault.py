@@ -108,6 +108,19 @@ class Vault:
     def neighbours(graph: DataFrame, id_: str, depth: int = 2, least: float = 0.0, kinds: list[str] | None = None) -> DataFrame:
         return traverse.neighbourhood(graph, id_, min(max(depth, 1), 4), least, kinds).orderBy("depth", F.desc("score"), "id")
 
+    @staticmethod
+    def path(graph: DataFrame, a: str, b: str) -> DataFrame:
+        """The widest path between two entries: place, id, bottleneck."""
+        return traverse.route(cut_lineage(traverse.widest_paths(graph, a)), b).orderBy("place")
+
+    @staticmethod
+    def between(graph: DataFrame, a: str, b: str) -> DataFrame:
+        return edges.between(graph, a, b)
+
+    @staticmethod
+    def strongest(graph: DataFrame, k: int = 10) -> DataFrame:
+        return edges.strongest(graph, k)
+
     def components(self, graph: DataFrame, least: float = 0.0) -> DataFrame:
         return traverse.components(self.entries, graph, least)
 
