@@ -53,7 +53,7 @@ def build_index(entries: DataFrame, folder: str, dimensions: int = 8192, known_m
     The settings are written last, so a build that was broken off is not taken for an index.
     """
     spark = entries.sparkSession
-    settings = known_mark or mark(entries)
+    settings = known_mark or mark(entries)  # a caller that keeps no index need not take the fingerprint
     texts = indexed_columns(entries)
     keyword_documents(texts, ["title", "body", "tags"]).write.mode("overwrite").parquet(f"{folder}/documents")
     vectors.term_counts(texts.select("id", "text")).write.mode("overwrite").parquet(f"{folder}/counts")

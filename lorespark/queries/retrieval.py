@@ -129,7 +129,7 @@ def _near_text(spark: SparkSession, vocab: DataFrame, packed: DataFrame, n: int,
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
     """The index of the entries, built in the shared folder."""
     e = cut_lineage(entries(spark, sf_dir, "title", "tags", "body"))
-    return I.build_index(e, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", DIMENSIONS)
+    return I.build_index(e, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", DIMENSIONS, "of one query")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
